@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from . import quality_rules
-
-QUERIES = {"op9_quality_rules": quality_rules.query}
+from . import mixing, quality_rules, sharding, url_filters
+
+QUERIES = {
+    "op3_sharding": sharding.query,
+    "op7_mixing": mixing.query,
+    "op9_quality_rules": quality_rules.query,
+    "op10_url_filters": url_filters.query,
+}
 
 ORACLES = {"op9_quality_rules": quality_rules.ORACLE_SQL}

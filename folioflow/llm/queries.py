@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding, url_filters
+from . import decontamination, mixing, quality_rules, sharding, url_filters
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op3_sharding": sharding.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_url_filters": url_filters.query,
 }
 
-ORACLES = {"op9_quality_rules": quality_rules.ORACLE_SQL}
+ORACLES = {
+    "op1_decontamination": decontamination.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
+}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, quality_rules, sharding, url_filters
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
+    "op2_near_dedup": near_dedup.query,
     "op3_sharding": sharding.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,

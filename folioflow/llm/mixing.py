@@ -36,8 +36,8 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
     """value, share: the targets of one margin."""
     d = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("tokens"))
     d = d.select("value", F.when(F.col("tokens") > 0, F.pow("tokens", F.lit(power))).otherwise(F.lit(0.0)).alias("x"))
-    total = d.agg(F.sum("x").alias("total"))
-    return d.crossJoin(F.broadcast(total)).select("value", F.when(F.col("total") > 0, F.col("x") / F.col("total")).otherwise(F.lit(0.0)).alias("share"))
+    total = d.agg(F.sum("x")).first()[0]
+    return d.select("value", (F.col("x") / F.lit(total)).alias("share") if total else F.lit(0.0).alias("share"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, scratch: Scratch | None = None) -> DataFrame:
@@ -62,13 +62,12 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS,
 
 def calibrated(raked: DataFrame) -> DataFrame:
     """Adds probability: the cell's factor over the largest one."""
-    sums = raked.agg(F.sum("tokens").alias("_n"), F.sum("weight").alias("_w"))
-    factor = F.when((F.col("tokens") > 0) & (F.col("_w") > 0), F.col("weight") / F.col("_w") / (F.col("tokens") / F.col("_n"))).otherwise(F.lit(0.0))
-    d = raked.crossJoin(F.broadcast(sums)).withColumn("_f", factor)
-    most = d.agg(F.max("_f").alias("_m"))
-    return d.crossJoin(F.broadcast(most)).select(
-        *raked.columns, F.when(F.col("_m") > 0, F.round(F.col("_f") / F.col("_m"), 9)).otherwise(F.lit(0.0)).alias("probability")
-    )
+    tokens, weight = raked.agg(F.sum("tokens"), F.sum("weight")).first()
+    if not tokens or not weight:
+        return raked.withColumn("probability", F.lit(0.0))
+    factor = F.when(F.col("tokens") > 0, F.col("weight") / F.lit(weight) / (F.col("tokens") / F.lit(tokens))).otherwise(F.lit(0.0))
+    most = raked.agg(F.max(factor)).first()[0]
+    return raked.withColumn("probability", F.round(factor / F.lit(most), 9))
 
 
 def mix(docs: DataFrame, temper: dict[str, float] | None = None, rounds: int = ROUNDS, keep: tuple[str, ...] = ("doc_id",), seed: int = SEED) -> DataFrame:

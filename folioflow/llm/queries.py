@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, url_filters
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_near_dedup": near_dedup.query,
     "op3_sharding": sharding.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_url_filters": url_filters.query,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE_SQL,
+    "op4_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }

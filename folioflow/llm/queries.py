@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, url_filters
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_output, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_near_dedup": near_dedup.query,
     "op3_sharding": sharding.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op6_token_output": token_output.query,
     "op7_mixing": mixing.query,
     "op9_quality_rules": quality_rules.query,
     "op10_url_filters": url_filters.query,

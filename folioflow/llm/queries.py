@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_output, url_filters
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_output, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
     "op6_token_output": token_output.query,
     "op7_mixing": mixing.query,
+    "op8_warc": warc.query,
     "op9_quality_rules": quality_rules.query,
     "op10_url_filters": url_filters.query,
 }
@@ -18,5 +19,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op8_warc": warc.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }

@@ -46,7 +46,7 @@ PART_BYTES = 16 << 20
 #: Pieces whose ids a worker remembers, twice: those used lately and those used before.
 MEMORY = 250_000
 #: Where a space does not surely begin a piece: before other white space or the like, or at the end.
-_UNSURE = re.compile(r" (?:[\s\x1c-\x1f\x85᠎​﻿]|$)")
+_UNSURE = re.compile("[ ](?:[\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]|$)")
 
 
 class Encoder:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_output, url_filters, warc
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, substring_dedup, token_counts, token_output, url_filters, warc
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_near_dedup": near_dedup.query,
     "op3_sharding": sharding.query,
     "op4_substring_dedup": substring_dedup.query,
+    "op5_token_counts": token_counts.query,
     "op6_token_output": token_output.query,
     "op7_mixing": mixing.query,
     "op8_warc": warc.query,

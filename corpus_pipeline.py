@@ -1,7 +1,67 @@
-"""The corpus pipeline (stages follow)."""
-STAGES = []
+"""The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the columns of
+`documents`; the last returns a row per document that is left, with its shard and slot. Null and empty texts fail the
+first stage; an empty table passes through all stages as one.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm import decontamination, mixing, near_dedup, quality_rules, sharding
+from folioflow.llm.common import Scratch, table
+
+#: Words of a shingle, and the similarity in hundredths, of the near-dedup stage.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents that of the smallest doc_id stays."""
+    return near_dedup.drop_copies(docs, SHINGLE, PERCENT)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stay with the probability of their cell of source, language and topic."""
+    packed = docs.select("doc_id", "text", "source", "lang", F.struct("*").alias("_row"))
+    return mixing.mix(packed, keep=("_row",)).where("sampled").select("_row.*")
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of each document left."""
+    return sharding.digest(sharding.place(docs))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("near_dedup", dedup),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
+
+#: Sampling draws by a hash that DuckDB lacks; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        if i:
+            scratch.drop(STAGES[i - 1][0])
+    return docs

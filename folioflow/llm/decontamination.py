@@ -4,8 +4,8 @@
 stands in `terms`; other words leave null slots. Parquet keeps them as dictionary codes, so a posting takes about two bytes,
 and no document leaves its task. `phrases` counts each term over the stored postings, takes each phrase's rarest term,
 turns its posting list into offset-adjusted starts, and intersects with the lists of the other terms, rarest first, by
-looking up the slot where each must stand; the first term that is not there ends it. `proximity` does so for two terms
-within a distance. Phrases come in blocks that can be broadcast.
+looking up the slot where each must stand. `proximity` does so for two terms within a distance. Phrases come in blocks
+that can be broadcast.
 
 Results in edge cases: null and empty texts have no words and no hits; an item without words has no windows; rows that
 repeat a doc_id, or have none, are judged each on its own, and repeated item_ids count once; items without an id hit
@@ -80,20 +80,41 @@ def _rarest_first(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     return d.select("_id", *phrases.columns, F.array_size("words").alias("size"), first["term"].alias("rarest"), first["offset"].alias("offset"), rest.alias("rest"))
 
 
+def postings(index: DataFrame, wanted: list[str] | None, before: int, after: int) -> DataFrame:
+    """The posting lists of the wanted terms (of all stored ones for None): rid, pos, term, and the slots around each place,
+    `around`, from slot `low` on. Only these rows are exploded; a document's own slots are never copied along."""
+    is_wanted = (lambda t: t.isNotNull()) if wanted is None else (lambda t: t.isin(wanted))
+    at = F.array_compact(F.transform("terms", lambda t, i: F.when(is_wanted(t), i)))
+    d = index.select("rid", "terms", at.alias("at")).where(F.array_size("at") > 0)
+
+    def posting(i: Column) -> Column:
+        low = F.greatest(i - before, F.lit(0))
+        around = F.slice(F.col("terms"), low + 1, i - low + 1 + after)
+        return F.struct(i.alias("pos"), F.get(F.col("terms"), i).alias("term"), low.alias("low"), around.alias("around"))
+
+    return d.select("rid", F.explode(F.transform("at", posting)).alias("x")).select("rid", "x.*")
+
+
 def phrases(index: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """wanted: words and other columns. Exact matches: rid, start, size, and wanted's other columns."""
     others = [c for c in wanted.columns if c != "words"]
     counts = scratch.save(frequencies(index), "frequencies")
-    lists = scratch.save(_rarest_first(scratch.save(wanted, "wanted"), counts).drop("words"), "lists")
-    blocks = max(1, -(-lists.count() // BLOCK))
+    lists = scratch.save(_rarest_first(scratch.save(wanted, "wanted"), counts), "lists")
+    n, longest = lists.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
+    blocks = max(1, -(-n // BLOCK))
     found = None
     for b in range(blocks):
-        block = F.broadcast(lists.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b))  # about BLOCK rows of one phrase each
-        postings = index.select("rid", "terms", F.posexplode("terms").alias("pos", "term")).where("term IS NOT NULL")
+        block = lists.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)  # about BLOCK rows of one phrase each
+        rarest = [r["rarest"] for r in block.select("rarest").distinct().collect()]
+        d = postings(index, rarest, longest - 1, longest - 1).join(F.broadcast(block), F.col("term") == F.col("rarest"))
         start = F.col("pos") - F.col("offset")
-        there = F.forall("rest", lambda x: F.coalesce(F.get(F.col("terms"), start + x["offset"]) == x["term"], F.lit(False)))
-        hits = postings.join(block, (F.col("term") == F.col("rarest")) & (start >= 0) & there)
-        hits = hits.select("rid", start.cast("long").alias("start"), F.col("size").cast("long").alias("size"), *others)
+        slot = lambda offset: F.get(F.col("around"), start + offset - F.col("low"))
+        # the second and third rarest terms' lists, moved by their offsets, part nearly all; the rest follow as one comparison
+        for k in (0, 1):
+            x = F.get("rest", F.lit(k))
+            d = d.where(x.isNull() | F.coalesce(slot(x["offset"]) == x["term"], F.lit(False)))
+        d = d.where((start >= 0) & (F.slice("around", start - F.col("low") + 1, F.col("size")) == F.col("words")))
+        hits = d.select("rid", start.cast("long").alias("start"), F.col("size").cast("long").alias("size"), *others)
         found = hits if found is None else found.unionByName(hits)
     return found
 
@@ -103,12 +124,14 @@ def proximity(index: DataFrame, pairs: DataFrame, within: int, scratch: Scratch)
     counts = frequencies(index)
     n = lambda c: counts.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}"))
     d = scratch.save(pairs.distinct().join(n("a"), "a").join(n("b"), "b"), "pairs")
-    d = d.select("a", "b", F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("rare"), (F.col("n_a") <= F.col("n_b")).alias("a_first"))
-    postings = index.select("rid", "terms", F.posexplode("terms").alias("pos", "term")).where("term IS NOT NULL")
-    d = postings.join(maybe_broadcast(d), F.col("term") == F.col("rare"))
+    a_first = F.col("n_a") <= F.col("n_b")
+    d = scratch.save(d.select("a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("rare"), a_first.alias("a_first")), "rarer")
+    rare = d.select("rare").distinct()
+    wanted = [r["rare"] for r in rare.collect()] if small(rare, VOCABULARY) else None
+    d = postings(index, wanted, within, within).join(maybe_broadcast(d), F.col("term") == F.col("rare"))
     other = F.when(F.col("a_first"), F.col("b")).otherwise(F.col("a"))
-    near = F.sequence(F.greatest(F.col("pos") - within, F.lit(0)), F.least(F.col("pos") + within, F.array_size("terms") - 1))
-    d = d.withColumn("_o", other).withColumn("_at", F.explode(F.filter(near, lambda i: (F.get(F.col("terms"), i) == F.col("_o")) & (i != F.col("pos")))))
+    d = d.select("rid", "a", "b", "a_first", "pos", "low", other.alias("other"), F.posexplode("around").alias("i", "near"))
+    d = d.withColumn("_at", F.col("low") + F.col("i")).where((F.col("near") == F.col("other")) & (F.col("_at") != F.col("pos")))
     at = lambda first: F.when(F.col("a_first") == F.lit(first), F.col("pos")).otherwise(F.col("_at")).cast("long")
     return d.select("rid", "a", "b", at(True).alias("at_a"), at(False).alias("at_b")).distinct()
 

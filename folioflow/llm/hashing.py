@@ -11,8 +11,8 @@ _PARTS = np.zeros(256, bool)
 _PARTS[[9, 10, 11, 12, 13, 32]] = True
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, 256, np.uint64)
 _ROOT = 0x9E3779B97F4A7C15
-#: Bytes that are hashed, and texts that are gathered, at a time. A longer word or text goes alone.
-CHUNK = 1 << 20
+#: Bytes that are hashed, and texts that are gathered, at a time: few enough for a core's cache. A longer word or text goes alone.
+CHUNK = 1 << 17
 _powers: list[np.ndarray] = []
 
 
@@ -61,6 +61,12 @@ def windows(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct hashes."""
+    s = np.sort(h)
+    return s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
+
+
 def long_windows(h: np.ndarray, size: int, seed: int) -> np.ndarray:
     """As `windows`, by differences of running sums; for long windows, and another hash."""
     n = len(h) - size + 1

@@ -5,7 +5,7 @@
    all blocks, each block giving each at most once.
 2. Windows with a recurring anchor are confirmed: those whose 96-bit digest occurs at two places at least, counted alike.
 3. The confirmed windows of a block are joined to its maximal passages, which are compiled to the block's shard of the
-   Aho-Corasick automata, over whole words. All its documents stream through, and every occurrence is marked.
+   Aho-Corasick automata, over whole words. Its documents that hold a confirmed window stream through, and every occurrence is marked.
 
 A shard thus holds the passages that its own block can contain, and no document meets another block's shard: work and
 memory follow the block, whatever the table's size. Groups by hash range have a row a block at most, however common a passage.
@@ -97,8 +97,9 @@ def _packing(size: int, gram: int, block_bytes: int, ranges: int):
 
         def packed():
             found = [Windows(spans, h, size, gram).anchors(size, gram) for _, spans, _, _, _, h in hashing.gathered(texts)]
-            a, n = np.unique(np.concatenate([*found, np.empty(0, np.uint64)]), return_counts=True)
-            a = (a & ~np.uint64(1)) | (n > 1)  # the last bit: at two places already
+            a = np.sort(np.concatenate([*found, np.empty(0, np.uint64)]) & ~np.uint64(1))
+            same = a[1:] == a[:-1]
+            a = (a | np.r_[same, np.zeros(min(1, len(a)), bool)])[np.r_[np.ones(min(1, len(a)), bool), ~same]]  # the last bit: at two places already
             parts = [{"range": r, "data": a[i:j].tobytes()} for r, i, j in _ranges(a, ranges)]
             row = {"block": number, "ids": ids, "lengths": list(map(len, texts)), "payload": zstandard.compress(b"".join(texts), 1), "anchors": parts}
             return pa.RecordBatch.from_pylist([row], schema=PACKED)
@@ -261,7 +262,8 @@ def _removing(size: int, texts_too: bool, schema: pa.Schema):
 
 
 def _marks(texts: list[bytes], known_a: np.ndarray, known_b: np.ndarray, size: int) -> list:
-    """For each text the words to remove, or None. Every text of the block runs through the block's automaton."""
+    """For each text the words to remove, or None. Texts with a confirmed window run through the block's automaton; in others no
+    passage can occur, as each is made of confirmed windows."""
     numbers: dict[int, int] = {}
     own: dict[bytes, int] = {}
     streams, found = [], []
@@ -269,7 +271,7 @@ def _marks(texts: list[bytes], known_a: np.ndarray, known_b: np.ndarray, size: i
         a, b = _digests(h, size)
         hit = _in(a, b, known_a, known_b) if len(a) else np.empty(0, bool)
         for k, (i, j) in zip(group, spans, strict=True):
-            if j - i < size:
+            if j - i < size or not hit[i : j - size + 1].any():
                 continue
             numbers[k] = len(streams)
             t = [own.setdefault(w, len(own)) for w in texts[k].split()]

@@ -58,8 +58,9 @@ def build_index(docs: DataFrame, terms: DataFrame | None, scratch: Scratch, name
     if terms is not None and small(terms, VOCABULARY):
         wanted = [r["term"] for r in terms.collect()]  # at most VOCABULARY, as checked
     d = _with_words(docs.select(F.struct(*(F.col(k) for k in keep)).alias("_keep"), F.col("text").alias("_t")), F.col("_t"))
-    low = F.transform("words", _lower)
-    kept = low if wanted is None else F.transform(low, lambda w: F.when(w.isin(wanted), w))
+    # most wanted words stand in lower case; only what is not found so is lowered
+    lowered = lambda w: F.when(_lower(w).isin(wanted), _lower(w))
+    kept = F.transform("words", _lower if wanted is None else lambda w: F.when(w.isin(wanted), w).otherwise(lowered(w)))
     d = d.select(F.monotonically_increasing_id().alias("rid"), F.col("_keep.*"), F.array_size("words").cast("long").alias("n_words"), kept.alias("terms"))
     return scratch.save(d, name)
 

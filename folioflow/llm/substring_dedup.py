@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress, count
 
 import ahocorasick
 import numpy as np
@@ -34,6 +35,7 @@ SIZE, GRAM, BLOCK = 35, 16, 2 << 20
 #: Bytes of input for each hash range, and the fewest ranges.
 RANGE_BYTES, RANGES = 32 << 20, 64
 _SEEDS = (11, 23, 37)
+_SPACES = bytes(32 if c in b"\t\n\x0b\x0c\r" else c for c in range(256))
 
 
 def _sliding(x: np.ndarray, n: int, f) -> np.ndarray:
@@ -166,6 +168,18 @@ def _recurring_windows(group: pa.Table) -> pa.Table:
     return _by_block(blocks[again], a[again], key[again])
 
 
+def _only(spans: list[tuple[int, int]], h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts that hold any of the sorted places, joined, and the places there."""
+    bounds = np.searchsorted(at, np.array(spans, np.int64).reshape(-1, 2)).tolist()
+    parts, places, total = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+    for (i, j), (a, b) in zip(spans, bounds, strict=True):
+        if b > a:
+            parts.append(h[i:j])
+            places.append(at[a:b] - i + total)
+            total += j - i
+    return np.concatenate(places), np.concatenate(parts)
+
+
 def _candidates(size: int, gram: int, ranges: int):
     def run(blocks: pa.Table, anchors: pa.Table) -> pa.Table:
         out = {"range": [], "block": [], "data": []}
@@ -177,10 +191,11 @@ def _candidates(size: int, gram: int, ranges: int):
                 w = Windows(spans, h, size, gram)
                 if w.n:
                     at = np.minimum(np.searchsorted(known, w.anchor), len(known) - 1)
-                    keep = w.valid & (known[at] == w.anchor)
-                    a, b = _digests(h, size)
-                    first.append(a[keep])
-                    second.append(b[keep])
+                    keep = np.flatnonzero(w.valid & (known[at] == w.anchor))
+                    places, sub = _only(spans, h, keep)
+                    a, b = _digests(sub, size)
+                    first.append(a[places])
+                    second.append(b[places])
             a, b = np.concatenate([*first, np.empty(0, np.uint64)]), np.concatenate([*second, np.empty(0, np.uint32)])
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -241,19 +256,19 @@ def _removing(size: int, texts_too: bool, schema: pa.Schema):
         rows = []
         for row in blocks.to_pylist():
             texts = _texts(row["ids"], row["lengths"], row["payload"])
-            marks: list = [None] * len(texts)
-            if windows.num_rows:
-                halves = [_halves(x) for x in windows.column("data").to_pylist()]
-                a, b = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
-                order = np.argsort(a, kind="stable")
-                marks = _marks(texts, a[order], b[order], size)
-            for d, t, m in zip(row["ids"], texts, marks, strict=True):
-                w = t.split()
-                gone = int(m.sum()) if m is not None else 0
-                kept = b" ".join([x for x, g in zip(w, m.tolist(), strict=True) if not g] if gone else w)
-                out = {"doc_id": d, "n_words": len(w), "n_removed": gone, "kept_sha256": hashlib.sha256(kept).hexdigest()}
+            halves = [_halves(x) for x in windows.column("data").to_pylist()] or [_halves(b"")]
+            a, b = (np.concatenate([x[i] for x in halves]) for i in (0, 1))
+            order = np.argsort(a, kind="stable")
+            facts = _marks(texts, a[order], b[order], size)
+            for d, t, (n, even, hit) in zip(row["ids"], texts, facts, strict=True):
+                gone = int(hit[1].sum()) if hit else 0
+                if gone:
+                    kept = b" ".join(list(compress(hit[0], (~hit[1]).tolist())))
+                else:
+                    kept = t.translate(_SPACES).strip(b" ") if even else b" ".join(t.split())
+                out = {"doc_id": d, "n_words": n, "n_removed": gone, "kept_sha256": hashlib.sha256(kept).hexdigest()}
                 if texts_too:
-                    edges = np.flatnonzero(np.diff(np.r_[False, m, False].view(np.int8))) if gone else np.empty(0, np.int64)
+                    edges = np.flatnonzero(np.diff(np.r_[False, hit[1], False].view(np.int8))) if gone else np.empty(0, np.int64)
                     out |= {"kept_text": kept.decode(), "spans": [{"start": s, "end": e} for s, e in edges.reshape(-1, 2).tolist()]}
                 rows.append(out)
         return pa.Table.from_pylist(rows, schema=schema)
@@ -261,24 +276,40 @@ def _removing(size: int, texts_too: bool, schema: pa.Schema):
     return run
 
 
-def _marks(texts: list[bytes], known_a: np.ndarray, known_b: np.ndarray, size: int) -> list:
-    """For each text the words to remove, or None. Texts with a confirmed window run through the block's automaton; in others no
-    passage can occur, as each is made of confirmed windows."""
-    numbers: dict[int, int] = {}
+def _marks(texts: list[bytes], known_a: np.ndarray, known_b: np.ndarray, size: int) -> list[tuple[int, bool, tuple[list[bytes], np.ndarray] | None]]:
+    """For each text its number of words, whether one byte parts each two, and its words and which to remove, or None. Texts with a
+    confirmed window run through the block's automaton; in others no passage can occur, as each is made of confirmed windows."""
+    facts: list = [None] * len(texts)
+    numbers, streams, found = [], [], []
     own: dict[bytes, int] = {}
-    streams, found = [], []
-    for group, spans, _, _, _, h in hashing.gathered(texts):
-        a, b = _digests(h, size)
-        hit = _in(a, b, known_a, known_b) if len(a) else np.empty(0, bool)
-        for k, (i, j) in zip(group, spans, strict=True):
-            if j - i < size or not hit[i : j - size + 1].any():
-                continue
-            numbers[k] = len(streams)
-            t = [own.setdefault(w, len(own)) for w in texts[k].split()]
-            streams.append(t)
-            found.append([tuple(t[s:e]) for s, e in passages(np.flatnonzero(hit[i : j - size + 1]), size)])
-    marks = located(streams, found)
-    return [marks[numbers[k]] if k in numbers else None for k in range(len(texts))]
+    split: dict[int, list[bytes]] = {}
+    bits = max(10, min(24, len(known_a).bit_length() + 4))
+    mask, table = np.uint64((1 << bits) - 1), np.zeros(1 << bits, bool)
+    table[known_a & mask] = True
+    for group, spans, _, starts, ends, h in hashing.gathered(texts):
+        wide = np.flatnonzero(starts[1:] - ends[:-1] != 1)
+        at = np.empty(0, np.int64)
+        if len(known_a) and len(h) >= size:
+            a = hashing.long_windows(h, size, _SEEDS[1])
+            at = np.flatnonzero(table[a & mask])  # most windows are not known, and stop here
+            if len(at):
+                a, b = _digests(h, size)
+                at = at[_in(a[at], b[at], known_a, known_b)]
+        bounds = np.array(spans, np.int64).reshape(-1, 2)
+        gaps = np.searchsorted(wide, np.maximum(bounds - [0, 1], 0))
+        hits = np.searchsorted(at, np.maximum(bounds - [0, size - 1], 0))
+        for k, (i, j), (g1, g2), (h1, h2) in zip(group, spans, gaps.tolist(), hits.tolist(), strict=True):
+            facts[k] = (j - i, g2 <= g1, None)
+            if h2 > h1:
+                split[k] = texts[k].split()
+                own.update(zip(set(split[k]) - own.keys(), count(len(own))))
+                t = [own[w] for w in split[k]]
+                numbers.append(k)
+                streams.append(t)
+                found.append([tuple(t[s:e]) for s, e in passages(at[h1:h2] - i, size)])
+    for k, m in zip(numbers, located(streams, found), strict=True):
+        facts[k] = (*facts[k][:2], (split[k], m))
+    return facts
 
 
 def _input_bytes(df: DataFrame) -> int:

@@ -163,7 +163,7 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     """The rows of docs, all columns, without a hit. Hits depend on the text alone, so its digest names the rows to drop."""
     key = F.sha2(F.encode(F.col("text"), "UTF-8"), 256)
     found = contamination(docs.select("text", key.alias("_key")), items, size, keep=("_key",)).where("n_hit > 0").select("_key").distinct()
-    return docs.withColumn("_key", key).join(maybe_broadcast(found), "_key", "left_anti").drop("_key")
+    return docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(maybe_broadcast(found), "_key", "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

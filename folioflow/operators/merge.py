@@ -90,7 +90,8 @@ def page_ranges(requests: DataFrame, info: DataFrame) -> DataFrame:
     d = d.withColumns({"low": low, "high": high})
     good = F.coalesce(((F.col("low") >= 1) & (F.col("low") <= F.col("high")) & (F.col("high") <= F.col("page_count"))) | (whole & (F.col("page_count") == 0)), F.lit(False))
     said = F.concat(F.lit("bad page range: "), F.col("_p"))
-    return d.withColumn("low", F.when(good, F.col("low")).otherwise(F.raise_error(said).cast("long"))).drop("_p", "page_count")
+    stops = lambda c: F.when(good, F.col(c)).otherwise(F.raise_error(said).cast("long"))
+    return d.withColumns({"low": stops("low"), "high": stops("high")}).drop("_p", "page_count")
 
 
 def select_pages(requests: DataFrame, info: DataFrame) -> DataFrame:

@@ -35,7 +35,6 @@ def page_count(data: bytes | None) -> int | None:
     return max(told) if told and (pages == 0 or max(told) < pages) else (pages or None)
 
 
-@F.pandas_udf("bigint")
 def _page_counts(content: pd.Series) -> pd.Series:
     return content.map(page_count).astype("Int64")
 
@@ -50,7 +49,7 @@ def documents(spark: SparkSession, *paths: str, only_pdf: bool = True) -> DataFr
     """path, name, size, page_count, version, error of files; a file that cannot be read has an error, and the others go on."""
     d = spark.read.format("binaryFile").load(list(paths))
     d = d.where(is_pdf(F.col("path"))) if only_pdf else d
-    d = d.select("path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"), _page_counts("content").alias("page_count"))
+    d = d.select("path", base_name(F.col("path")).alias("name"), F.col("length").alias("size"), F.pandas_udf(_page_counts, "bigint")("content").alias("page_count"))
     return d.select("*", F.lit(VERSION).alias("version"), F.when(F.col("page_count").isNull(), F.lit("not a readable PDF")).alias("error"))
 
 

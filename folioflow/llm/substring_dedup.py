@@ -82,8 +82,10 @@ def _digests(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _ranges(h: np.ndarray, ranges: int) -> Iterator[tuple[int, int, int]]:
     """Range, first and last of sorted hashes; at most one entry for each range that has any."""
+    if not len(h):
+        return
     of = ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-    firsts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+    firsts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     for a, b in zip(firsts.tolist(), [*firsts[1:].tolist(), len(of)], strict=True):
         yield int(of[a]), a, b
 

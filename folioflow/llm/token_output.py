@@ -18,7 +18,6 @@ doc_id stand together, ordered by their text, and each is returned; an empty tab
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
@@ -43,52 +42,22 @@ LIMIT, STRIDE, SEGMENT, BLOCK_IDS, FILE_BYTES = 18, 256, 1 << 20, 1 << 19, 32 <<
 RUN = 1 << 14
 #: Input bytes of a part.
 PART_BYTES = 16 << 20
-#: Pieces whose ids a worker remembers, twice: those used lately and those used before.
-MEMORY = 250_000
-#: Where a space does not surely begin a piece: before other white space or the like, or at the end.
-_UNSURE = re.compile("[ ](?:[\\s\\x1c-\\x1f\\x85\\u180e\\u200b\\ufeff]|$)")
 
 
 class Encoder:
-    """The library's ids of whole texts. Byte-level BPE never merges across a space that a word follows, so texts are cut
-    there, and the library encodes each distinct piece once; texts with special tokens or other spacing go to it whole."""
+    """The library's ids of whole texts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if max(self.size, END_ID + 1) <= 1 << 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as bytes, with the end id."""
-        end = np.array([END_ID], self.kind).tobytes()
-        cut: list[list[str] | None] = []
-        wanted: set[str] = set()
-        for t in texts:
-            if _UNSURE.search(t) or any(s in t for s in self.special):
-                cut.append(None)
-                continue
-            first, *rest = t.split(" ")
-            rest.append("\0" + first)  # a piece without a space before it
-            cut.append(rest)
-            wanted.update(rest)
-        if len(self.known) > MEMORY:  # what was not used since the last time goes
-            self.old, self.known = self.known, {}
-        new = wanted - self.known.keys()
-        seen = new & self.old.keys()
-        self.known.update((w, self.old[w]) for w in seen)
-        new = list(new - seen)
-        self.known.update(zip(new, self._encode([w[1:] if w[:1] == "\0" else " " + w for w in new]), strict=True))
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        known = self.known
-        return [(next(whole) if c is None else known[c[-1]] + b"".join([known[p] for p in c[:-1]])) + end for c in cut]
+        """Ids as bytes, with the end id. One text a call, so that a worker keeps to its core."""
+        fast = self.tokenizer.encode_batch_fast
+        return [np.array([*fast([t], add_special_tokens=False)[0].ids, END_ID], self.kind).tobytes() for t in texts]
 
 
 _encoders: dict[str, Encoder] = {}

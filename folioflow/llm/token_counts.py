@@ -29,7 +29,7 @@ MARK = "▁"
 #: Words whose counts a worker remembers, twice: those used lately and those used before.
 MEMORY = 400_000
 #: Texts whose words are put in one trie.
-TEXTS = 500
+TEXTS = 2000
 
 
 class Unigram:
@@ -64,7 +64,7 @@ class Unigram:
             del best[shared + 1 :], used[shared + 1 :]
             for end in range(shared + 1, len(s) + 1):
                 last = s[end - 1]
-                width = len(last.encode("utf-8", "surrogatepass"))
+                width = 1 if last < "\x80" else len(last.encode("utf-8", "surrogatepass"))
                 top, least = best[end - 1] + unknown * width, used[end - 1] + width
                 for start in range(max(0, end - longest.get(last, 0)), end):
                     score = scores.get(s[start:end])
@@ -96,10 +96,9 @@ def _counting(path: str, keep: str = "doc_id"):
                 if len(memory[0]) > MEMORY:
                     memory[:] = [{}, memory[0]]
                 known, old = memory
-                new = set().union(*split) - known.keys()
-                seen = new & old.keys()
-                known.update((w, old[w]) for w in seen)
-                known.update((w.encode(), n) for w, n in model.count([w.decode() for w in new - seen]).items())
+                new = [w for w in set().union(*split) if w not in known]
+                known.update((w, old[w]) for w in new if w in old)
+                known.update((w.encode(), n) for w, n in model.count([w.decode() for w in new if w not in old]).items())
                 n_words += map(len, split)
                 n_tokens += [sum(map(known.__getitem__, ws)) for ws in split]
             yield pa.RecordBatch.from_arrays([batch.column(keep), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], [keep, "n_words", "n_tokens"])

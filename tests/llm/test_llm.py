@@ -156,6 +156,35 @@ def test_sharding_edges(spark):
     assert sharding.place(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("case", ["pairs", "groups", "one large"])
+def test_links_of_full_shards_are_joined(spark, case):
+    """Every document has a copy, so that all shards are full of linked rows from the start."""
+    text = {"pairs": F.expr("id div 2"), "groups": F.expr("floor(sqrt(id * 30))"), "one large": F.expr("if(id % 3 = 0, -1, id div 6)")}[case]
+    d = spark.range(6000).select(F.col("id").alias("doc_id"), text.cast("string").alias("text"))
+    placed = sharding.place(d).persist()
+    sizes = Counter(r["shard"] for r in placed.select("shard").collect())
+    assert sum(sizes.values()) == 6000 and max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 8
+    small = placed.where("text_crc32 != crc32(encode('-1', 'UTF-8'))")
+    assert sharding.cut_links(small) <= 0.03 * sharding.cut_links(small, "start_shard")
+    if case == "one large":  # 2000 rows in shards of 750: two full ones and the rest in a third
+        n = sorted((r["count"] for r in placed.where("text_crc32 = crc32(encode('-1', 'UTF-8'))").groupBy("shard").count().collect()), reverse=True)
+        assert sum(n[:3]) >= 0.97 * 2000
+
+
+def test_flows_keep_shards_in_size():
+    rng = random.Random(5)
+    for _ in range(300):
+        k = rng.randrange(2, 9)
+        demand = {(s, t): rng.randrange(100) for s in range(k) for t in range(k) if s != t and rng.random() < 0.5}
+        room, spare = [rng.randrange(-20, 40) * rng.randrange(2) for _ in range(k)], [rng.randrange(60) for _ in range(k)]
+        flow, way = sharding.flows(demand, room, spare)
+        assert all(0 <= flow[s][t] <= demand.get((s, t), 0) for s in range(k) for t in range(k))
+        for j in range(k):
+            into, out = sum(x[j] for x in flow) + sum(x[j] for x in way), sum(flow[j]) + sum(way[j])
+            assert into - out <= max(0, room[j]) and sum(way[j]) <= spare[j]
+    assert sharding.flows({(0, 1): 5, (1, 2): 3, (2, 0): 4}, [0] * 3, [0] * 3)[0] == [[0, 3, 0], [0, 0, 3], [3, 0, 0]]
+
+
 # 4
 
 

@@ -124,6 +124,26 @@ def by_n(want, doc):
     return next(k[1] for k in want if k[0] == doc)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_dedup_filter_is_as_sure_as_its_lists(spark, percent):
+    k = near_dedup.K
+    m = near_dedup.least_seen(percent, k)
+    tail = lambda m: sum(math.comb(k, j) * (percent / 100) ** j * (1 - percent / 100) ** (k - j) for j in range(m))
+    assert tail(m) <= near_dedup.MISS < tail(m + 1)
+    # a pair at the threshold that shares just m of the union's k smallest hashes, and one that shares fewer
+    link = near_dedup.Linker.__new__(near_dedup.Linker)
+    link.scratch, link.size, link.percent = Scratch(spark, "t"), 3, percent
+    sets = {}
+    for i, seen in enumerate((m, m - 1)):
+        alone = [*range(1, k - seen + 1), *range(900, 900 + 10 * (100 - percent) - k + seen)]
+        sets[2 * i] = np.arange(1, 1001, dtype=np.uint64)
+        sets[2 * i + 1] = np.array([h for h in range(1, 1001) if h not in alone], np.uint64)
+    link.sketches = spark.createDataFrame([(c, x[:k].astype(np.int64).tolist()) for c, x in sets.items()], "cid long, sketch array<long>")
+    link.sets = spark.createDataFrame([(c, bytearray(x.tobytes())) for c, x in sets.items()], "cid long, shingles binary")
+    got = link.verified(spark.createDataFrame([(0, 1), (2, 3)], "a long, b long"), "pairs")
+    assert [tuple(r) for r in got.collect()] == [(0, 1)]
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(100, 200)] + [(1, 2), (5, 2), (300, 300)]
     got = {r["id"]: r["comp"] for r in components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark, "t"), "c").collect()}

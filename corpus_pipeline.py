@@ -25,8 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents that of the smallest doc_id stays."""
-    return near_dedup.drop_copies(docs, SHINGLE, PERCENT)
+    """Of each group of linked documents one row stays, of the smallest doc_id."""
+    return near_dedup.keep_one(docs, SHINGLE, PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -508,6 +508,17 @@ def test_pipeline_is_its_stages(spark, sf, duck, docs):
     assert {r["doc_id"] for r in last.collect()} == drawn and max(sizes.values()) - min(sizes.get(j, 0) for j in range(8)) <= 1
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    one, two = (" ".join(f"{c}{i} of" for i in range(60)) for c in "ab")
+    data = [(4, one), (4, one), (4, one + " end"), (5, one), (None, one), (None, two), (None, two), (None, two + " end"), (7, "x y z"), (None, None), (3, ""), (3, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in data], DOCS)
+    left = corpus_pipeline.dedup(spark, d, sf)
+    assert left.columns == d.columns
+    rows = left.select("doc_id", "text").collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter([4, None, 7, None, 3, 3])
+    assert sum(bool(r["text"]) and r["doc_id"] is None and r["text"].startswith(two) for r in rows) == 1
+
+
 def test_pipeline_edges(spark, sf):
     for start in (odd, empty):
         stage = start(spark)

@@ -24,10 +24,8 @@ def renumber(df: DataFrame, pos: str = "pos") -> DataFrame:
     return running_total(df, F.lit(1), "_new", pos).drop(pos).withColumnRenamed("_new", pos)
 
 
-def number(df: DataFrame, *order: Column, pos: str = "pos", bucket: Column | None = None) -> DataFrame:
-    """Gives positions in an order. bucket: a column that follows the order and parts the rows; without it one task sorts all."""
-    if bucket is None:
-        return df.withColumn(pos, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+def number(df: DataFrame, *order: Column, bucket: Column, pos: str = "pos") -> DataFrame:
+    """Gives positions in an order. bucket: a column that follows the order and parts the rows, so that no task sorts all."""
     d = df.withColumn("_b", bucket)
     sizes = d.groupBy("_b").count()
     before = sizes.select(F.col("_b"), F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_o"))

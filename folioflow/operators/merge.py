@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name, is_pdf
@@ -119,6 +119,42 @@ def merge(requests: DataFrame, info: DataFrame, min_files: int = 1, output: str
     return select_pages(d, info) if has_ranges(d).first()[0] else manifest(d, info)
 
 
+def as_requests(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """pos, path, page_range: whole documents in that order."""
+    return spark.createDataFrame([(i, p, "all") for i, p in enumerate(paths)], "pos long, path string, page_range string")
+
+
+def merge_paths(spark: SparkSession, paths: list[str] | DataFrame, info: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
+    """Whole documents by their paths: a list, or rows of pos and path. The first path that is unknown or empty stops the query."""
+    if isinstance(paths, list):
+        if "" in paths:
+            raise ValueError("an empty path")
+        paths = as_requests(spark, paths)
+    d = checked(paths.select("pos", "path", F.lit("all").alias("page_range")), min_files, output)
+    return manifest(d, info)
+
+
+def to_requests(files: DataFrame) -> DataFrame:
+    """files: pos, file_path, name, page_range, page_count, size. The same by the names that merges use."""
+    return files.select("pos", F.col("file_path").alias("path"), "name", "page_range", "page_count", "size")
+
+
+def merge_with_info(files: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
+    """A merge of rows that bring their own names, sizes and page counts, which are trusted; the newest of a repeated path counts."""
+    d = to_requests(files)
+    info = d.groupBy("path").agg(F.max_by(F.struct("name", "size", "page_count"), "pos").alias("_i")).select("path", "_i.*")
+    return merge(d.select("pos", "path", "page_range"), info, min_files, output)
+
+
+def paths(requests: DataFrame) -> DataFrame:
+    """pos, path."""
+    return requests.select("pos", "path")
+
+
 def write_manifest(df: DataFrame, path: str) -> None:
     """A manifest in order; replaces what is there."""
     df.repartitionByRange("out_page").sortWithinPartitions("out_page").write.mode("overwrite").parquet(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("out_page long, path string, src_page long").parquet(path)

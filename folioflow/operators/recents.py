@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,13 +22,14 @@ def recents(opened: DataFrame, kept: int = RECENTS_KEPT, *ties: str) -> DataFram
     return d.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))  # at most `kept` rows
 
 
-def add(current: DataFrame, new: DataFrame, kept: int = RECENTS_KEPT) -> DataFrame:
+def add(current: DataFrame, new: DataFrame, kept: int = RECENTS_KEPT, *ties: str) -> DataFrame:
     """The list after one more opening: the path's old row goes, the new one comes first."""
-    return recents(current.drop("pos").unionByName(new), kept)
+    return recents(current.drop("pos").unionByName(new), kept, *ties)
 
 
-def remove(current: DataFrame, path: str) -> DataFrame:
-    return recents(current.drop("pos").where(F.col("path") != path))
+def remove(current: DataFrame, path: str, *ties: str) -> DataFrame:
+    """The list without a path; numbered anew."""
+    return recents(current.drop("pos").where(F.col("path") != path), RECENTS_KEPT, *ties)
 
 
 def export_json(current: DataFrame, kept: int = RECENTS_KEPT) -> str:
@@ -37,6 +39,22 @@ def export_json(current: DataFrame, kept: int = RECENTS_KEPT) -> str:
     return json.dumps([{names[c]: r[c] for c in names} for r in rows], indent=2)
 
 
+def save_json(current: DataFrame, path: str, kept: int = RECENTS_KEPT) -> None:
+    """Replaces the file at once: written beside it under another name, then moved."""
+    spark = current.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs, beside = at.getFileSystem(conf), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    data = export_json(current, kept).encode()
+    fs.mkdirs(at.getParent())
+    out = fs.create(beside, True)
+    out.write(bytearray(data))
+    out.close()
+    fs.delete(at, False)
+    if not fs.rename(beside, at):
+        raise OSError(f"cannot write {path}")
+
+
 def load_json(spark: SparkSession, path: str) -> DataFrame:
     """The list of a JSON file; empty if there is none. What is no such array raises."""
     jvm = spark.sparkContext._jvm

@@ -29,14 +29,17 @@ class _Expiry(StatefulProcessor):
         for batch in rows:
             kind = batch["type"].iloc[-1]
         self.kind.update((kind,))
+        for at in list(self.handle.listTimers()):  # what came under this id before no longer counts
+            self.handle.deleteTimer(at)
         if kind == "success":
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.ms)
         yield pd.DataFrame({"id": [key[0]], "type": [kind], "state": ["shown"]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (kind,) = self.kind.get()
-        self.kind.clear()
-        yield pd.DataFrame({"id": [key[0]], "type": [kind], "state": ["expired"]})
+        kind = self.kind.get()[0] if self.kind.exists() else None
+        if kind == "success":
+            self.kind.clear()
+            yield pd.DataFrame({"id": [key[0]], "type": [kind], "state": ["expired"]})
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import pytest
 
 from folioflow.plans import catalogue
+from folioflow.plans import documents as _registers  # noqa: F401
 
 
 @pytest.mark.parametrize("name", catalogue.QUERIES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 WHITE = r"[\x20\x09-\x0D]"
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 
-#: Rows of a lookup table up to which it may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of a lookup table, and bytes of its values, up to which it may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: A hot key's rows are dealt over so many tasks where joins shuffle.
+SALTS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of this machine only where none is set, as in tests."""
+    """The cluster's shared folder. Where none is set, a folder of this machine, but only if all tasks run on it, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         root = f"file://{tempfile.mkdtemp(prefix='folioflow-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -56,16 +62,30 @@ class Scratch:
                 raise
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most that many rows; reads no more than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df has at most that many rows, and BROADCAST_BYTES of values; reads no more than one row beyond."""
+    rows = BROADCAST_ROWS if rows is None else rows
+    size = reduce(lambda a, c: a + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)), df.columns, F.lit(0).cast("long"))
+    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= rows and total <= BROADCAST_BYTES
 
 
-def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """A broadcast hint behind a check of the size; beyond it the planner shuffles."""
     return F.broadcast(df) if small(df, rows) else df
 
 
+def looked_up(df: DataFrame, lookup: DataFrame, on: list[str], *spread: str, how: str = "inner") -> DataFrame:
+    """df joined to a table of distinct keys: broadcast behind a check of its size; beyond it both are shuffled, and as one
+    key may hold much of df, its rows are dealt over SALTS tasks by the columns of spread, and each key is sent to all of them.
+    A key with a null finds nothing."""
+    if small(lookup):
+        return df.join(F.broadcast(lookup), on, how)
+    dealt = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, [*on, "_salt"], how).drop("_salt")
+
+
 def white_words(text: Column) -> Column:
     """Maximal runs of anything but ASCII white space, in order; none for null."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE_CHARS))

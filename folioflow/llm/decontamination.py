@@ -1,11 +1,10 @@
-"""Benchmark decontamination over a distributed positional index of the training documents.
+"""Benchmark decontamination over a distributed positional inverted index of the training documents.
 
-`build_index` stores, for each document, the postings of the wanted terms: a term's positions are the slots at which it
-stands in `terms`; other words leave null slots. Parquet keeps them as dictionary codes, so a posting takes about two bytes,
-and no document leaves its task. `phrases` counts each term over the stored postings, takes each phrase's rarest term,
-turns its posting list into offset-adjusted starts, and intersects with the lists of the other terms, rarest first, by
-looking up the slot where each must stand. `proximity` does so for two terms within a distance. Phrases come in blocks
-that can be broadcast.
+`build_index` stores the posting lists of the wanted terms in one pass over the texts: a row for each place at which a term
+stands, with the row's number and the word's. Each part of the table is sorted by term, so that a list lies together there.
+`phrases` counts the terms over the index and orders each phrase's terms by their counts. The rarest term's list, moved by
+its offset, gives the starts; these are intersected with the second term's list, moved by its own; what is left meets the
+lists of all other terms at once, and must be found in each. `proximity` joins the lists of two terms by blocks of words.
 
 Results in edge cases: null and empty texts have no words and no hits; an item without words has no windows; rows that
 repeat a doc_id, or have none, are judged each on its own, and repeated item_ids count once; items without an id hit
@@ -14,28 +13,23 @@ words but count as no item; empty tables give no hits or no rows. Other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, small, table
+from .common import Scratch, looked_up, maybe_broadcast, table
 
 #: Words of a window.
 WINDOW = 10
-#: Up to this many distinct wanted terms the index keeps only their postings; beyond, those of all words.
-VOCABULARY = 100_000
-#: Phrases of a block.
-BLOCK = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Runs of ASCII characters other than digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def _with_words(df: DataFrame, text: Column) -> DataFrame:
-    """Adds words, still in their case."""
-    d = df.withColumn("_s", F.split(F.coalesce(text, F.lit("")), BETWEEN))
-    lead = (F.get("_s", F.lit(0)) == "").cast("int")
-    tail = ((F.array_size("_s") > 1) & (F.element_at("_s", -1) == "")).cast("int")
-    return d.withColumn("words", F.slice("_s", 1 + lead, F.array_size("_s") - lead - tail)).drop("_s")
+def _words(text: Column) -> Column:
+    """The words, still in their case. Around the first and the last there may be empty ones."""
+    return F.split(F.coalesce(text, F.lit("")), BETWEEN)
 
 
 def _lower(w: Column) -> Column:
@@ -45,118 +39,127 @@ def _lower(w: Column) -> Column:
 
 def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     """items: item_id, text. The distinct phrases: words, items (sorted distinct ids as strings)."""
-    d = _with_words(items.select("item_id", F.col("text").alias("_t")), F.col("_t"))
-    d = d.select("item_id", F.transform("words", _lower).alias("w"), F.least(F.array_size("words"), F.lit(size)).alias("n")).where("n > 0")
+    d = items.select("item_id", F.filter(F.transform(_words(F.col("text")), _lower), lambda w: w != "").alias("w"))
+    d = d.withColumn("n", F.least(F.array_size("w"), F.lit(size))).where("n > 0")
     d = d.select("item_id", "w", "n", F.explode(F.sequence(F.lit(1), F.array_size("w") - F.col("n") + 1)).alias("at"))
     d = d.select(F.col("item_id").cast("string").alias("item"), F.slice("w", F.col("at"), F.col("n")).alias("words"))
     return d.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None, scratch: Scratch, name: str = "index", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """docs: text and the columns of keep; terms: term. Stores rid, keep, n_words, terms."""
-    wanted = None
-    if terms is not None and small(terms, VOCABULARY):
-        wanted = [r["term"] for r in terms.collect()]  # at most VOCABULARY, as checked
-    d = _with_words(docs.select(F.struct(*(F.col(k) for k in keep)).alias("_keep"), F.col("text").alias("_t")), F.col("_t"))
-    # most wanted words stand in lower case; only what is not found so is lowered
-    lowered = lambda w: F.when(_lower(w).isin(wanted), _lower(w))
-    kept = F.transform("words", _lower if wanted is None else lambda w: F.when(w.isin(wanted), w).otherwise(lowered(w)))
-    d = d.select(F.monotonically_increasing_id().alias("rid"), F.col("_keep.*"), F.array_size("words").cast("long").alias("n_words"), kept.alias("terms"))
-    return scratch.save(d, name)
-
-
-def frequencies(index: DataFrame) -> DataFrame:
-    """term, n: how often each stored term occurs."""
-    return index.select(F.explode("terms").alias("term")).where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("n"))
+@dataclass
+class Index:
+    """rows: rid, n_words and what was kept of each row; postings: term (a number), rid, pos; terms: word, term."""
+
+    rows: DataFrame
+    postings: DataFrame
+    terms: DataFrame
+
+    def counts(self) -> DataFrame:
+        """word, term, n: how often each term stands in the texts; only those that do."""
+        n = self.postings.groupBy("term").agg(F.count("*").alias("n"))
+        return self.terms.join(n, "term").select("word", "term", "n")
+
+
+def build_index(docs: DataFrame, terms: DataFrame | None, scratch: Scratch, name: str = "index", keep: tuple[str, ...] = ("doc_id",)) -> Index:
+    """docs: text and the columns of keep; terms: word, those to be found; None: all words."""
+    if terms is None:
+        terms = docs.select(F.explode(_words(F.col("text"))).alias("w")).select(_lower(F.col("w")).alias("word"))
+    terms = terms.where("word != ''").distinct().withColumn("term", F.monotonically_increasing_id())
+    terms = scratch.save(terms, f"{name}-terms")
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(k) for k in keep)).alias("keep"), _words(F.col("text")).alias("w"))
+    n = F.array_size("w")
+    lead = (F.get("w", F.lit(0)) == "").cast("int")
+    tail = ((n > 1) & (F.element_at("w", -1) == "")).cast("int")
+    d = d.select("rid", "keep", lead.alias("lead"), (n - lead - tail).cast("long").alias("n_words"), "w")
+    # one row more for each text, without a term, says what it is: both come from one pass
+    d = d.select("rid", "keep", "lead", "n_words", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "w")).alias("at", "w"))
+    d = d.where("w IS NULL OR w != ''").withColumn("word", _lower(F.col("w")))
+    d = looked_up(d, terms, ["word"], "rid", "at", how="left").where("term IS NOT NULL OR w IS NULL")
+    is_row = F.col("w").isNull()
+    d = d.select(
+        "term", "rid", F.when(is_row, F.col("n_words")).otherwise(F.col("at") - 1 - F.col("lead")).cast("int").alias("pos"), F.when(is_row, F.col("keep")).alias("keep")
+    )
+    d = scratch.save(d.sortWithinPartitions("term"), name)
+    rows = d.where("term IS NULL").select("rid", F.col("pos").cast("long").alias("n_words"), "keep.*")
+    return Index(rows, d.where("term IS NOT NULL").select("term", "rid", "pos"), terms)
 
 
 def _rarest_first(phrases: DataFrame, counts: DataFrame) -> DataFrame:
-    """Adds n, term, offset of the rarest term, and rest: the other terms and offsets, rarest first. Phrases with a term that never occurs go."""
-    d = phrases.withColumn("_id", F.monotonically_increasing_id())
-    at = d.select("_id", F.posexplode("words").alias("offset", "term"))
-    lists = at.join(maybe_broadcast(counts), "term").groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("order"))
-    d = d.join(lists, "_id").where(F.array_size("order") == F.array_size("words"))
-    rest = F.transform(F.slice("order", F.lit(2), F.array_size("order")), lambda x: F.struct(x["offset"].alias("offset"), x["term"].alias("term")))
-    first = F.get("order", F.lit(0))
-    return d.select("_id", *phrases.columns, F.array_size("words").alias("size"), first["term"].alias("rarest"), first["offset"].alias("offset"), rest.alias("rest"))
-
-
-def postings(index: DataFrame, wanted: list[str] | None, before: int, after: int) -> DataFrame:
-    """The posting lists of the wanted terms (of all stored ones for None): rid, pos, term, and the slots around each place,
-    `around`, from slot `low` on. Only these rows are exploded; a document's own slots are never copied along."""
-    is_wanted = (lambda t: t.isNotNull()) if wanted is None else (lambda t: t.isin(wanted))
-    at = F.array_compact(F.transform("terms", lambda t, i: F.when(is_wanted(t), i)))
-    d = index.select("rid", "terms", at.alias("at")).where(F.array_size("at") > 0)
+    """Adds id, size, and order: the phrase's terms and their offsets, rarest first. Phrases with a term that never occurs go."""
+    d = phrases.withColumn("id", F.monotonically_increasing_id())
+    at = d.select("id", F.posexplode("words").alias("offset", "word"))
+    lists = looked_up(at, counts, ["word"], "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "offset", "term"))).alias("order"))
+    return d.join(lists, "id").where(F.array_size("order") == F.array_size("words")).withColumn("size", F.array_size("words"))
 
-    def posting(i: Column) -> Column:
-        low = F.greatest(i - before, F.lit(0))
-        around = F.slice(F.col("terms"), low + 1, i - low + 1 + after)
-        return F.struct(i.alias("pos"), F.get(F.col("terms"), i).alias("term"), low.alias("low"), around.alias("around"))
 
-    return d.select("rid", F.explode(F.transform("at", posting)).alias("x")).select("rid", "x.*")
-
-
-def phrases(index: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
-    """wanted: words and other columns. Exact matches: rid, start, size, and wanted's other columns."""
+def phrases(index: Index, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """wanted: words, distinct, and other columns. Exact matches: rid, start, size, and wanted's other columns."""
     others = [c for c in wanted.columns if c != "words"]
-    counts = scratch.save(frequencies(index), "frequencies")
-    lists = scratch.save(_rarest_first(scratch.save(wanted, "wanted"), counts), "lists")
-    n, longest = lists.agg(F.count("*"), F.coalesce(F.max("size"), F.lit(1))).first()
-    blocks = max(1, -(-n // BLOCK))
-    found = None
-    for b in range(blocks):
-        block = lists.where(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)  # about BLOCK rows of one phrase each
-        rarest = [r["rarest"] for r in block.select("rarest").distinct().collect()]
-        d = postings(index, rarest, longest - 1, longest - 1).join(F.broadcast(block), F.col("term") == F.col("rarest"))
-        start = F.col("pos") - F.col("offset")
-        slot = lambda offset: F.get(F.col("around"), start + offset - F.col("low"))
-        # the second and third rarest terms' lists, moved by their offsets, part nearly all; the rest follow as one comparison
-        for k in (0, 1):
-            x = F.get("rest", F.lit(k))
-            d = d.where(x.isNull() | F.coalesce(slot(x["offset"]) == x["term"], F.lit(False)))
-        d = d.where((start >= 0) & (F.slice("around", start - F.col("low") + 1, F.col("size")) == F.col("words")))
-        hits = d.select("rid", start.cast("long").alias("start"), F.col("size").cast("long").alias("size"), *others)
-        found = hits if found is None else found.unionByName(hits)
-    return found
-
-
-def proximity(index: DataFrame, pairs: DataFrame, within: int, scratch: Scratch) -> DataFrame:
+    lists = scratch.save(_rarest_first(scratch.save(wanted, "wanted"), index.counts()), "lists")
+    nth = lambda k, of: F.get("order", F.lit(k))[of]
+    first = lists.select(nth(0, "term").alias("term"), nth(0, "offset").alias("offset"), nth(1, "term").alias("second"), (nth(1, "offset") - nth(0, "offset")).alias("apart"), "id", "size")
+    # a term may be the rarest of many phrases: its postings meet one row of them all
+    first = first.groupBy("term").agg(F.collect_list(F.struct("id", "size", "offset", "second", "apart")).alias("of"))
+    starts = looked_up(index.postings, first, ["term"], "rid", "pos").select("rid", "pos", F.inline("of")).where("pos >= offset")
+    starts = starts.select("rid", (F.col("pos") - F.col("offset")).alias("start"), "id", "size", F.col("second").alias("term"), (F.col("pos") + F.col("apart")).alias("pos"))
+    starts = scratch.save(starts, "starts")
+    second = looked_up(index.postings, starts.select("term").where("term IS NOT NULL").distinct(), ["term"], "rid", "pos", how="left_semi")
+    both = starts.join(second, ["rid", "pos", "term"], "left_semi").select("rid", "start", "id", "size")
+    both = scratch.save(both.unionByName(starts.where("size = 1").select("rid", "start", "id", "size")), "both")
+    # the other terms' lists, in the rows that are left; every place of a phrase must be found
+    rest = lists.where("size > 2").select("id", F.slice("order", F.lit(3), F.col("size")).alias("rest"))
+    needed = looked_up(both.where("size > 2"), rest, ["id"], "rid", "start").select("rid", "start", "id", "size", F.inline("rest"))
+    needed = needed.select("rid", "start", "id", "size", "term", (F.col("start") + F.col("offset")).alias("pos"))
+    near = looked_up(index.postings, both.select("rid").distinct(), ["rid"], "pos", how="left_semi")
+    full = needed.join(near, ["rid", "pos", "term"], "left_semi").groupBy("rid", "start", "id", "size").count().where("count = size - 2")
+    hits = both.where("size <= 2").unionByName(full.select("rid", "start", "id", "size"))
+    hits = looked_up(hits, lists.select("id", *others), ["id"], "rid", "start")
+    return hits.select("rid", F.col("start").cast("long").alias("start"), F.col("size").cast("long").alias("size"), *others)
+
+
+def proximity(index: Index, pairs: DataFrame, within: int, scratch: Scratch) -> DataFrame:
     """pairs: a, b. Every a and b at most `within` words apart, in any order: rid, a, b, at_a, at_b. A term is not near itself at one place."""
-    counts = frequencies(index)
-    n = lambda c: counts.select(F.col("term").alias(c), F.col("n").alias(f"n_{c}"))
-    d = scratch.save(pairs.distinct().join(n("a"), "a").join(n("b"), "b"), "pairs")
-    a_first = F.col("n_a") <= F.col("n_b")
-    d = scratch.save(d.select("a", "b", F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("rare"), a_first.alias("a_first")), "rarer")
-    rare = d.select("rare").distinct()
-    wanted = [r["rare"] for r in rare.collect()] if small(rare, VOCABULARY) else None
-    d = postings(index, wanted, within, within).join(maybe_broadcast(d), F.col("term") == F.col("rare"))
-    other = F.when(F.col("a_first"), F.col("b")).otherwise(F.col("a"))
-    d = d.select("rid", "a", "b", "a_first", "pos", "low", other.alias("other"), F.posexplode("around").alias("i", "near"))
-    d = d.withColumn("_at", F.col("low") + F.col("i")).where((F.col("near") == F.col("other")) & (F.col("_at") != F.col("pos")))
-    at = lambda first: F.when(F.col("a_first") == F.lit(first), F.col("pos")).otherwise(F.col("_at")).cast("long")
-    return d.select("rid", "a", "b", at(True).alias("at_a"), at(False).alias("at_b")).distinct()
+    counts = scratch.save(index.counts(), "counts")
+    of = lambda c: counts.select(F.col("word").alias(c), F.col("term").alias(f"term_{c}"), F.col("n").alias(f"n_{c}"))
+    d = pairs.distinct().join(of("a"), "a").join(of("b"), "b").withColumn("pair", F.monotonically_increasing_id())
+    d = scratch.save(d.withColumn("a_rare", F.col("n_a") <= F.col("n_b")), "pairs")
+    block = F.floor(F.col("pos") / (within + 1))
+
+    def places(rare: bool) -> DataFrame:
+        term = F.when(F.col("a_rare") == F.lit(rare), F.col("term_a")).otherwise(F.col("term_b"))
+        lists = d.select(term.alias("term"), "pair").groupBy("term").agg(F.collect_list("pair").alias("pairs"))
+        return looked_up(index.postings, lists, ["term"], "rid", "pos").select("rid", "pos", F.explode("pairs").alias("pair"))
+
+    # the rarer term's places look into the blocks beside their own
+    rare = places(True).select("rid", "pair", F.col("pos").alias("at"), F.explode(F.sequence(block - 1, block + 1)).alias("block"))
+    other = places(False).select("rid", "pair", "pos", block.alias("block"))
+    found = rare.join(other, ["rid", "pair", "block"]).where((F.col("pos") != F.col("at")) & (F.abs(F.col("pos") - F.col("at")) <= within))
+    at = lambda c: F.when(F.col("a_rare") == F.lit(c == "a"), F.col("at")).otherwise(F.col("pos")).cast("long").alias(f"at_{c}")
+    return looked_up(found, d.select("pair", "a", "b", "a_rare"), ["pair"], "rid", "pos").select("rid", "a", "b", at("a"), at("b"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per row of docs: keep, n_words, spans (sorted start and end of hit windows), n_hit, items (sorted ids)."""
+    """One row per row of docs: keep, n_words, spans (start and end of the runs of hit words), n_hit, items (sorted ids)."""
     scratch = Scratch(docs.sparkSession, "decontamination")
     wanted = scratch.save(windows(items, size), "windows")
-    terms = wanted.select(F.explode("words").alias("term")).distinct()
-    index = build_index(docs, terms, scratch, keep=keep)
-    hits = phrases(index, wanted, scratch)
-    # what one document has; rows of a document lie in one task, so most is gathered before the shuffle
-    by_doc = hits.groupBy("rid").agg(
-        F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end"))).alias("spans"), F.collect_set("items").alias("items")
-    )
-    by_doc = by_doc.select("rid", F.sort_array("spans").alias("spans"), F.sort_array(F.array_distinct(F.flatten("items"))).alias("items"))
-    # spans come in the order of their starts, so a span adds what lies beyond the furthest end so far
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end"))
-    step = lambda a, x: F.struct(
-        (a["n"] + F.greatest(F.lit(0).cast("long"), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end")
-    )
-    by_doc = by_doc.withColumn("n_hit", F.aggregate("spans", zero, step, lambda a: a["n"]))
-    d = index.select("rid", *keep, "n_words").join(by_doc, "rid", "left").drop("rid")
-    return d.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    index = build_index(docs, wanted.select(F.explode("words").alias("word")), scratch, keep=keep)
+    hits = scratch.save(phrases(index, wanted, scratch), "hits")
+    # spans that overlap or touch are one, before any are gathered
+    d = hits.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
+    before = Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(before), F.lit(-1))).cast("int"))
+    d = d.withColumn("run", F.sum("new").over(Window.partitionBy("rid").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.groupBy("rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = d.groupBy("rid").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    # which items: one row of each phrase and document, and then of each item and document
+    found = hits.select("rid", "items").distinct().select("rid", F.explode("items").alias("item")).groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    by_doc = scratch.save(spans.join(found, "rid", "left"), "by-document")
+    d = index.rows.select("rid", *keep, "n_words").join(maybe_broadcast(by_doc), "rid", "left").drop("rid")
+    nothing = F.array()
+    return d.withColumns({
+        "n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", nothing.cast("array<string>")),
+        "spans": F.coalesce("spans", nothing.cast("array<struct<start: bigint, end: bigint>>")),
+    })
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:

@@ -17,7 +17,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute
 
 import corpus_pipeline
-from folioflow.llm import decontamination, mixing, near_dedup, quality_rules, queries, sharding, substring_dedup, token_counts, token_output, url_filters, warc
+from folioflow.llm import common, decontamination, mixing, near_dedup, quality_rules, queries, sharding, substring_dedup, token_counts, token_output, url_filters, warc
 from folioflow.llm.common import Scratch
 from folioflow.llm.components import components
 
@@ -55,6 +55,13 @@ def test_against_sql(spark, sf, duck, same, name):
     same(queries.QUERIES[name](spark, sf), duck.execute(queries.ORACLES[name]))
 
 
+@pytest.mark.parametrize("name", ["op1_decontamination", "op8_warc", "op10_url_filters"])
+def test_without_broadcasts(spark, sf, duck, same, monkeypatch, name):
+    """What is too large to broadcast is shuffled, with the same results."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    same(queries.QUERIES[name](spark, sf), duck.execute(queries.ORACLES[name])) if name in queries.ORACLES else queries.QUERIES[name](spark, sf).collect()
+
+
 # 1
 
 
@@ -62,7 +69,7 @@ def test_phrases_and_proximity(spark):
     d = spark.createDataFrame([(1, "a b c a b d"), (2, "c b a"), (3, None)], "doc_id long, text string")
     s = Scratch(spark, "t")
     index = decontamination.build_index(d, None, s)
-    ids = {r["rid"]: r["doc_id"] for r in index.collect()}
+    ids = {r["rid"]: r["doc_id"] for r in index.rows.collect()}
     wanted = spark.createDataFrame([(["a", "b"], 1), (["b", "d"], 2), (["b", "x"], 3)], "words array<string>, w int")
     got = sorted((ids[r["rid"]], r["start"], r["w"]) for r in decontamination.phrases(index, wanted, s).collect())
     assert got == [(1, 0, 1), (1, 3, 1), (1, 4, 2)]
@@ -70,11 +77,25 @@ def test_phrases_and_proximity(spark):
     assert sorted((ids[r["rid"]], r["at_a"], r["at_b"]) for r in near.collect()) == [(1, 0, 2), (1, 3, 2), (2, 2, 0)]
 
 
-def test_many_windows_go_in_blocks(spark, sf, monkeypatch):
-    want = Counter(map(tuple, decontamination.query(spark, sf).collect()))
-    monkeypatch.setattr(decontamination, "BLOCK", 150)
-    monkeypatch.setattr(decontamination, "VOCABULARY", 10)
-    assert Counter(map(tuple, decontamination.query(spark, sf).collect())) == want
+def test_proximity_is_brute_force(spark):
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") for _ in range(n)] for n in (0, 1, 5, 40, 200)]
+    s = Scratch(spark, "t")
+    index = decontamination.build_index(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"), None, s)
+    ids = {r["rid"]: r["doc_id"] for r in index.rows.collect()}
+    pairs = [("a", "b"), ("a", "a"), ("c", "z")]
+    want = Counter((k, a, b, i, j) for k, t in enumerate(texts) for a, b in pairs for i, x in enumerate(t) for j, y in enumerate(t) if i != j and x == a and y == b and abs(i - j) <= 3)
+    got = decontamination.proximity(index, spark.createDataFrame(pairs, "a string, b string"), 3, s)
+    assert Counter((ids[r["rid"]], r["a"], r["b"], r["at_a"], r["at_b"]) for r in got.collect()) == want
+
+
+def test_index_holds_lists_by_term(spark):
+    d = spark.createDataFrame([(1, "(A) b, a!"), (2, None), (3, "...")], "doc_id long, text string")
+    index = decontamination.build_index(d, spark.createDataFrame([("a",), ("c",)], "word string"), Scratch(spark, "t"))
+    term = {r["word"]: r["term"] for r in index.terms.collect()}
+    rows = {r["rid"]: (r["doc_id"], r["n_words"]) for r in index.rows.collect()}
+    assert sorted(rows.values()) == [(1, 3), (2, 0), (3, 0)]
+    assert sorted((rows[r["rid"]][0], r["term"], r["pos"]) for r in index.postings.collect()) == [(1, term["a"], 0), (1, term["a"], 2)]
 
 
 def test_decontamination_edges(spark):
@@ -164,7 +185,14 @@ def test_shards_are_even_and_keep_links(spark, docs):
     for r in rows:
         slots[r["shard"]].append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert sharding.cut_links(placed) < 0.5 * sharding.cut_links(placed, "start_shard")
+    # the hot link does not fit in a shard: at best it fills one after the other; small links need no cut
+    is_hot = F.col("text_crc32") == F.lit(zlib.crc32(b"hot text"))
+    room, left, least = sorted(sizes.values(), reverse=True), 300, math.comb(300, 2)
+    for n in room:
+        least -= math.comb(min(n, left), 2)
+        left -= min(n, left)
+    assert least <= sharding.cut_links(placed.where(is_hot)) <= 1.01 * least
+    assert sharding.cut_links(placed.where(~is_hot)) <= 0.1 * sharding.cut_links(placed.where(~is_hot), "start_shard")
     texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in d.collect())
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == texts
 

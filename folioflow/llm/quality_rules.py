@@ -83,7 +83,8 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: t
     # a window covers three words; of two that overlap, the first counts only up to the second
     covered = F.transform(F.col("_r"), lambda p, j: F.least(F.lit(3), F.coalesce(F.get(F.col("_r"), j + 1) - p, F.lit(3))).cast("long"))
     d = d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
-    return d.drop("_h", "_s", "_d", "_p", "_r")
+    # a number by row holds filters above the projections: pushed through, they would repeat the nested expressions without end
+    return d.withColumn("_n", F.monotonically_increasing_id()).where("_n >= 0").drop("_n", "_h", "_s", "_d", "_p", "_r")
 
 
 def base_failed() -> Column:
@@ -107,9 +108,7 @@ def judge(measured: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of docs, all columns, that pass."""
     packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("text"))
-    # a number by row holds the filter above the projections: pushed through, it would repeat their nested expressions without end
-    judged = judge(measure(packed, keep=("_row",)), rules).withColumn("_n", F.monotonically_increasing_id())
-    return judged.filter("kept AND _n >= 0").select("_row.*")
+    return judge(measure(packed, keep=("_row",)), rules).where("kept").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,9 +18,11 @@ doc_id stand together, ordered by their text, and each is returned; an empty tab
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,11 +43,51 @@ LIMIT, STRIDE, SEGMENT, BLOCK_IDS, FILE_BYTES = 18, 256, 1 << 20, 1 << 19, 32 <<
 #: Ids that are coded at a time; a multiple of STRIDE.
 RUN = 1 << 14
 #: Input bytes of a part.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
+#: A space that stands behind something else than white space, and white space that is seldom met.
+CUT = re.compile(r"(?<=\S) ")
+RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+#: Letters and marks that the pre-tokeniser parts, and of which there is no doubt in any version of Unicode.
+LETTERS, MARKS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+"), ".,;:!?#$%&*+-/<=>@^_|~()[]{}"
+#: The characters for which the byte-level alphabet has others: what does not print follows behind the 256th, in order.
+SPACE = chr(256 + 32)
+BYTES = {c: 256 + i for i, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174))}
+#: Bytes of cuts that a worker remembers, twice: those met lately and those before; what an entry takes beside its characters.
+MEMORY, ENTRY = 72 << 20, 230
+
+
+class _Cuts(dict):
+    """The ids of cuts behind a fixed start, as bytes; what is not there is put together from its parts or comes from the library."""
+
+    def __init__(self, encoder: Encoder, start: str, old: dict[str, bytes]):
+        self.encoder, self.start, self.old = encoder, start, old
+
+    def __missing__(self, cut: str) -> bytes:
+        bare = self.encoder.bare
+        if "\n" in cut:  # one line break between other characters is a piece
+            left, _, right = cut.partition("\n")
+            if left and right and not left[-1].isspace() and not right[0].isspace():
+                return self[left] + bare["\n"] + bare[right]
+        found = self.old.get(cut)
+        if found is None:
+            stem = cut.rstrip(MARKS)
+            if not stem or not LETTERS.fullmatch(stem):
+                found = self.encoder.ids(self.start + cut)
+            elif len(stem) < len(cut):  # letters are a piece, and so are the marks behind them
+                found = self[stem] + bare[cut[len(stem) :]]
+            else:
+                found = self.encoder.word_ids(self.start + cut)
+        self[cut] = found
+        self.encoder.taken += len(cut) + ENTRY
+        return found
 
 
 class Encoder:
-    """The library's ids of whole texts."""
+    """The library's ids of whole texts.
+
+    No piece of the library's pre-tokeniser has white space behind other characters, so a text may be cut before each space
+    that follows none: the ids of the cuts, one after the other, are those of the text. A worker remembers the ids of cuts.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -53,11 +95,29 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if max(self.size, END_ID + 1) <= 1 << 16 else np.uint32
+        self.code, self.model = "H" if self.kind is np.uint16 else "I", self.tokenizer.model
+        self.end = np.array([END_ID], self.kind).tobytes()
+        self.taken, self.bare, self.spaced = 0, _Cuts(self, "", {}), _Cuts(self, " ", {})
+
+    def ids(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+    def word_ids(self, text: str) -> bytes:
+        """The ids of letters alone, behind a space or nothing: a piece as it stands, so that the library's model can be asked at once."""
+        seen = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
+        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as bytes, with the end id. One text a call, so that a worker keeps to its core."""
-        fast = self.tokenizer.encode_batch_fast
-        return [np.array([*fast([t], add_special_tokens=False)[0].ids, END_ID], self.kind).tobytes() for t in texts]
+        """Ids as bytes, with the end id."""
+        out = []
+        for t in texts:
+            wide = "  " in t or "\n " in t or any(map(t.__contains__, RARE))
+            first, *cuts = CUT.split(t) if wide else t.split(" ")
+            out.append(b"".join([self.ids(first), *map(self.spaced.__getitem__, cuts), self.end]))
+            if self.taken > MEMORY:
+                self.bare.old = self.spaced.old = {}
+                self.taken, self.bare, self.spaced = 0, _Cuts(self, "", self.bare), _Cuts(self, " ", self.spaced)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

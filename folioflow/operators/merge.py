@@ -34,12 +34,15 @@ def range_map(requests: DataFrame) -> DataFrame:
     return requests.groupBy("path").agg(F.max_by(normalised_range(F.col("page_range")), "pos").alias("page_range"))
 
 
-def checked(requests: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
+def _refuse(n: int, min_files: int, output: str) -> None:
     if not output:
         raise ValueError("no output path")
-    n = len(requests.head(min_files)) if min_files else 0
     if n < min_files:
         raise ValueError(f"at least {min_files} documents are needed")
+
+
+def checked(requests: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
+    _refuse(len(requests.head(min_files)) if min_files and output else 0, min_files, output)
     return requests
 
 
@@ -115,8 +118,10 @@ def delete_pages(requests: DataFrame, info: DataFrame) -> DataFrame:
 
 def merge(requests: DataFrame, info: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
     """Whole documents, or the ranges if any request has one."""
-    d = checked(requests, min_files, output)
-    return select_pages(d, info) if has_ranges(d).first()[0] else manifest(d, info)
+    some = F.coalesce(F.bool_or(~is_all(F.col("page_range"))), F.lit(False))
+    n, ranged = requests.agg(F.count("*"), some).first()  # both guards in one pass
+    _refuse(n, min_files, output)
+    return select_pages(requests, info) if ranged else manifest(requests, info)
 
 
 def as_requests(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -202,3 +202,67 @@ def test_streams(spark, tmp_path):
     T.keep_recents(stream, store).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination()
     batch = R.recents(spark.createDataFrame(openings, schema))
     assert sorted(map(tuple, T.latest(spark, store).collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_expiry_over_repeats(spark, tmp_path):
+    """A repeated success expires once, counted from its last coming; one that became an error stays."""
+    import time
+
+    from folioflow.streaming import notifications as T
+
+    seen, schema = [], "id string, type string"
+    put = lambda rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    put([("a", "success"), ("b", "success"), ("c", "error"), ("d", "success")])
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    writer = T.expiring(stream, seconds=6).writeStream.outputMode("update").foreachBatch(lambda d, _: seen.extend((r["id"], r["state"], time.time()) for r in d.collect()))
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+
+    def wait(f):
+        end = time.time() + 60
+        while not f() and time.time() < end and query.isActive:
+            time.sleep(0.2)
+
+    try:
+        wait(lambda: len(seen) >= 4)
+        put([("a", "success"), ("b", "error")])
+        wait(lambda: sum(s == "shown" for _, s, _ in seen) >= 6)
+        again = max(t for i, s, t in seen if (i, s) == ("a", "shown"))
+        wait(lambda: {i for i, s, _ in seen if s == "expired"} >= {"a", "d"})
+        time.sleep(3)
+        assert query.isActive and query.exception() is None
+    finally:
+        query.stop()
+    expired = [(i, t) for i, s, t in seen if s == "expired"]
+    assert sorted(i for i, _ in expired) == ["a", "d"] and dict(expired)["a"] > again + 3
+
+
+def test_documents(spark, tmp_path):
+    from folioflow.operators import documents as D
+    from folioflow.sources import files, store
+
+    rows = [(0, "/x/a.pdf", "a.pdf", 3, "data:a", True), (1, "/x/bad.pdf", "bad.pdf", 1, None, True), (2, "c.pdf", "c.pdf", 5, "blob:c", False)]
+    batch = spark.createDataFrame(rows, "pos long, path string, name string, size long, view_uri string, picked boolean")
+    one, active = D.add_documents(D.loaded(batch.limit(0), "0"), batch, "1")
+    got = [(r["pos"], r["name"], r["pages"], r["original_path"]) for r in one.orderBy("pos").collect()]
+    assert got == [(0, "a.pdf", 1, "/x/a.pdf"), (1, "c.pdf", 1, None)] and D.require_open(one, active, "x").first()["name"] == "a.pdf"
+    two, same = D.add_documents(one, batch, "2", active)
+    assert same == active and two.select("id").distinct().count() == 4 and D.dialog_list(two).count() == 2
+    assert D.add_documents(one.limit(0), batch.limit(0), "3")[1] is None
+    for wrong in (None, "none"):
+        with pytest.raises(ValueError, match="open a document"):
+            D.require_open(one, wrong, "merge")
+    info = spark.createDataFrame([("/x/a.pdf", 9)], "path string, page_count long")
+    assert [r["pages"] for r in D.page_counts_written(one, info).orderBy("pos").collect()] == [9, 1]
+    root = store.location(spark, f"file://{tmp_path}/deep/store")
+    assert (tmp_path / "deep/store").is_dir() and store.recents_file(spark, root) == f"{root}/recent.json"
+    files.write_files(spark.createDataFrame([("a.pdf", files.blank_pdf(4)), ("b.pdf", b"x")], "name string, content binary"), root)
+    with pytest.raises(Exception, match="not a readable PDF"):
+        files.pdf_info(spark, root).collect()
+    info = files.pdf_info(spark, f"{root}/a.pdf")
+    assert [(r["name"], r["page_count"]) for r in info.collect()] == [("a.pdf", 4)]
+    path = info.first()["path"]
+    assert pages(M.merge_paths(spark, [path, path], info)) == [(path, p) for p in (1, 2, 3, 4)] * 2
+    with pytest.raises(ValueError):
+        M.merge_paths(spark, [path, ""], info)
+    R.save_json(R.recents(files.file_info(spark, root)), store.recents_file(spark, root))
+    assert json.loads((tmp_path / "deep/store/recent.json").read_text())[0]["pageCount"] == 0

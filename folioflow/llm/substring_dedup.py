@@ -79,7 +79,9 @@ def _digests(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashing.long_windows(h, size, _SEEDS[1]), (hashing.long_windows(h, size, _SEEDS[2]) >> np.uint64(32)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
 
 
-def _range_of(h: np.ndarray, ranges: int) -> np.ndarray:
+def _range_of(anchors: np.ndarray, ranges: int) -> np.ndarray:
+    """Anchors are the smallest of many hashes, so they are mixed once more to spread them evenly."""
+    h = hashing.mix(anchors & ~np.uint64(1))
     return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
@@ -137,6 +139,8 @@ def _packing(root: str, size: int, gram: int, block_bytes: int, ranges: int):
             same = a[1:] == a[:-1]
             a = (a | np.r_[same, np.zeros(min(1, len(a)), bool)])[np.r_[np.ones(min(1, len(a)), bool), ~same]]  # the last bit: at two places already
             of = _range_of(a, ranges)
+            order = np.argsort(of, kind="stable")
+            a, of = a[order], of[order]
             parts = [{"range": int(of[i]), "data": a[i:j].tobytes()} for i, j in _runs(of)]
             data = zstandard.compress(b"".join(texts), 1)
             out = out or fs.open_output_stream(f"{folder}/{name}", compression=None)

@@ -4,8 +4,10 @@ Writing: the SHA-1 of each payload is counted; where several pages share one, th
 and the others are revisits that refer to it. Tasks write files to the shared folder, a gzip member (or plain bytes) a record.
 
 Reading: files are cut in stretches of bytes. A task takes every place in its stretch where a record's magic stands for a
-candidate, parses it, and gives the offset where its successor would begin. Pointer jumping from offset 0 of each file keeps
-the candidates that the chain reaches: each round doubles the length of the jumps. Magic inside a payload is never reached.
+candidate, parses it, and gives the offset where its successor would begin, and the one where the chain from here leaves the stretch.
+Pointer jumping from offset 0 of each file finds where the chain enters each stretch: a round doubles the length of the
+jumps, over stretches, not records. In each stretch the candidates on the way from there are the records; magic inside a payload
+is never reached. A file that yields another number of records than were written raises an error.
 
 Results in edge cases: a null page has an empty payload; an empty payload counts as any other; pages that repeat a page_id
 with one payload are all responses if it is the largest; pages without a page_id are revisits where another page has the
@@ -27,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, maybe_broadcast, table
+from .common import Scratch, looked_up, table
 
 #: Fixed values of the format.
 PLAIN, GZIP = b"WARC/1.0\r\n", b"\x1f\x8b\x08"
@@ -106,7 +108,7 @@ def write_archives(pages: DataFrame, scratch: Scratch, least: int = LEAST, compr
     d = pages.select("page_id", "url", "html", F.sha1(payload).alias("sha"), F.octet_length(payload).alias("size"))
     same = d.where(F.col("size") >= least).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
     same = scratch.save(same.where("n > 1 AND first IS NOT NULL").select("sha", "first"), "same")
-    d = d.join(maybe_broadcast(same), "sha", "left")
+    d = looked_up(d, same, ["sha"], "page_id", "url", how="left")  # a third of all pages may have one payload
     revisit = (F.col("size") >= least) & ~F.col("first").eqNullSafe(F.col("page_id"))
     d = d.select("page_id", "url", "html", "sha", F.when(revisit, F.col("first")).alias("refers"))
     root = scratch.path("archives")
@@ -178,11 +180,13 @@ def _facts(fields: dict[str, str], block: bytes) -> dict:
     }
 
 
-CANDIDATES = pa.schema(
-    [("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-     ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())]
-)
-CANDIDATES_DDL = "file string, at bigint, next bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+RECORDS = [
+    ("file", pa.string()), ("at", pa.int64()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()),
+    ("refers_to", pa.int64()), ("url", pa.string()),
+]
+CANDIDATES = pa.schema([*RECORDS, ("low", pa.int64()), ("next", pa.int64()), ("exit", pa.int64())])
+RECORDS_DDL = "file string, at bigint, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string"
+CANDIDATES_DDL = RECORDS_DDL + ", low bigint, next bigint, exit bigint"
 
 
 def candidates(f, size: int, low: int, high: int, gzipped: bool) -> Iterator[dict]:
@@ -202,7 +206,10 @@ def candidates(f, size: int, low: int, high: int, gzipped: bool) -> Iterator[dic
             if head and len(found[0]) == head[1] + head[2] + 4:
                 yield {"at": at, "next": found[1], **_facts(head[0], found[0][head[1] : head[1] + head[2]])}
         else:
-            end = source.until(at + READ).find(b"\r\n\r\n", at - low)
+            seen, end = at, -1
+            while end < 0 and seen < size:  # a head may be longer than what is read at once
+                end = source.until(seen + READ).find(b"\r\n\r\n", max(at, seen - 3) - low)
+                seen += READ
             head = parse(source.data[at - low : end + 4]) if end >= 0 else None
             if head and at + head[1] + head[2] + 4 <= size:
                 block = source.until(at + head[1] + head[2] + 4)[at - low + head[1] :][: head[2] + 4]
@@ -217,32 +224,42 @@ def _finding(root: str):
         for batch in batches:
             for row in batch.to_pylist():
                 with fs.open_input_file(f"{folder}/{row['name']}") as f:
-                    rows = []
-                    for c in candidates(f, row["bytes"], row["low"], min(row["bytes"], row["low"] + row["step"]), row["name"].endswith(".gz")):
-                        rows.append({"file": row["name"], **c})
-                        if len(rows) >= 2000:
-                            yield pa.RecordBatch.from_pylist(rows, schema=CANDIDATES)
-                            rows = []
-                    yield pa.RecordBatch.from_pylist(rows, schema=CANDIDATES)
+                    rows = list(candidates(f, row["bytes"], row["low"], min(row["bytes"], row["low"] + row["step"]), row["name"].endswith(".gz")))
+                exits: dict[int, int] = {}
+                for c in reversed(rows):  # by offset: a successor comes later
+                    exits[c["at"]] = c["exit"] = exits.get(c["next"], c["next"])
+                    c |= {"file": row["name"], "low": row["low"]}
+                for i in range(0, len(rows), 2000):
+                    yield pa.RecordBatch.from_pylist(rows[i : i + 2000], schema=CANDIDATES)
 
     return run
 
 
-def chained(found: DataFrame, scratch: Scratch) -> DataFrame:
-    """found: file, at, next. file, at of the candidates that are reached from offset 0, by pointer jumping."""
-    jumps = found.select("file", "at", "next")
-    reached = found.where("at = 0").select("file", "at")
-    i = 0
-    while True:
-        ahead = reached.join(jumps, ["file", "at"]).select("file", F.col("next").alias("at"))
+def entered(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """found: file, at, exit. file, at of the candidates where the chain from offset 0 enters a stretch, by pointer jumping."""
+    starts = found.where("at = 0").select("file", "at")
+    ends = found.select("file", F.col("exit").alias("at")).distinct()
+    jumps = found.select("file", "at", "exit").join(ends.unionByName(starts), ["file", "at"], "left_semi")
+    jumps = scratch.save(jumps.join(found.select("file", F.col("at").alias("exit")), ["file", "exit"], "left_semi").select("file", "at", "exit"), "jumps")
+    reached, i = scratch.save(starts, "reached"), 0
+    while jumps.limit(1).count():
+        ahead = reached.join(jumps, ["file", "at"]).select("file", F.col("exit").alias("at"))
         new = scratch.save(reached.unionByName(ahead).distinct(), f"reached{i}")
-        longer = jumps.join(jumps.select("file", F.col("at").alias("next"), F.col("next").alias("far")), ["file", "next"])
-        jumps = scratch.save(longer.select("file", "at", F.col("far").alias("next")), f"jumps{i}")
+        longer = jumps.join(jumps.select("file", F.col("at").alias("exit"), F.col("exit").alias("far")), ["file", "exit"])
+        jumps = scratch.save(longer.select("file", "at", F.col("far").alias("exit")), f"jumps{i}")
         reached, i = new, i + 1
-        if not jumps.limit(1).count():
-            break
-    ends = reached.join(found.select("file", "at"), ["file", "at"], "left_semi")  # the end of a file is reached too
-    return ends
+    return reached
+
+
+def _walk(found: pa.Table, entries: pa.Table) -> pa.Table:
+    """The candidates of a stretch that the chain meets from where it enters."""
+    at = {x: i for i, x in enumerate(found.column("at").to_pylist())}
+    after, keep = found.column("next").to_pylist(), []
+    for x in entries.column("at").to_pylist():
+        while (i := at.get(x)) is not None:
+            keep.append(i)
+            x = after[i]
+    return found.take(pa.array(keep, pa.int64())).select([name for name, _ in RECORDS])
 
 
 def read_archives(root: str, manifest: DataFrame, scratch: Scratch, stretch: int = STRETCH) -> DataFrame:
@@ -251,7 +268,16 @@ def read_archives(root: str, manifest: DataFrame, scratch: Scratch, stretch: int
     cuts = manifest.select("name", "bytes", lows.alias("low"), F.lit(stretch).alias("step"))
     tasks = max(1, min(20_000, cuts.count()))
     found = scratch.save(cuts.repartition(tasks, "name", "low").mapInArrow(_finding(root), CANDIDATES_DDL), "candidates")
-    return found.join(maybe_broadcast(chained(found, scratch)), ["file", "at"], "left_semi").drop("next")
+    entries = entered(found, scratch).withColumn("low", F.expr(f"at - at % {stretch}"))
+    records = found.groupBy("file", "low").cogroup(entries.groupBy("file", "low")).applyInArrow(_walk, RECORDS_DDL)
+    records = scratch.save(records, "records")
+    told = manifest.select(F.col("name").alias("file"), "records").where("records IS NOT NULL")
+    counts = records.groupBy("file").agg(F.count("*").alias("n"))
+    wrong = told.join(counts, "file", "left").where("coalesce(n, 0) != records").select("file").head()
+    if wrong:
+        raise ValueError(f"the chain of {wrong['file']} does not hold the records that were written")
+    scratch.keep("archives", "manifest", "records")
+    return records
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

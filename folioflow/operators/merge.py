@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import base_name, is_pdf
 from ..schemas import VERSION
-from .lists import number, renumber, running_total
+from .lists import move, number, renumber, running_total
 
 
 def doc_info(pages: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -116,6 +116,12 @@ def delete_pages(requests: DataFrame, info: DataFrame) -> DataFrame:
     return renumber(d, "_n").select((F.col("_n") + 1).alias("out_page"), "path", "src_page")
 
 
+def move_page(pages: DataFrame, i: int, j: int) -> DataFrame:
+    """A manifest whose i-th page is taken out and put in as the j-th, counted from 1; unchanged if there is no such page."""
+    d = move(pages.withColumn("_p", F.col("out_page") - 1), i - 1, j - 1, "_p")
+    return d.select((F.col("_p") + 1).alias("out_page"), *(c for c in pages.columns if c != "out_page"))
+
+
 def merge(requests: DataFrame, info: DataFrame, min_files: int = 1, output: str = "document.pdf") -> DataFrame:
     """Whole documents, or the ranges if any request has one."""
     some = F.coalesce(F.bool_or(~is_all(F.col("page_range"))), F.lit(False))

@@ -17,6 +17,7 @@ from ..operators import documents as D
 from ..operators import lists as L
 from ..operators import merge as M
 from ..operators import recents as R
+from ..operators.spans import document_texts, page_texts
 from ..schemas import RECENTS_KEPT
 from ..sources import files, store
 from ..streaming import notifications as T
@@ -222,6 +223,21 @@ def _(spark, d):
     return M.read_manifest(spark, path)
 
 
+@query("merged_page_moved", f"""SELECT CASE WHEN out_page = 2 THEN 9 WHEN out_page > 2 AND out_page <= 9 THEN out_page - 1 ELSE out_page END AS out_page, path, src_page
+    FROM ({_SQL_WHOLE})""")
+def _(spark, d):
+    return M.move_page(M.manifest(_requests(spark, d), _info(spark, d)), 2, 9)
+
+
+@query("document_texts", """SELECT conv_id AS path, count(*) AS pages, string_agg(text, chr(10) ORDER BY page) AS text FROM
+    (SELECT conv_id, turn + 1 AS page, concat_ws(' ', nullif(role, ''), nullif(text, '')) AS text FROM conversations) WHERE text <> '' GROUP BY conv_id""")
+def _(spark, d):
+    t = _table(spark, d, "conversations")
+    role = t.select(F.col("conv_id").alias("path"), (F.col("turn") + 1).alias("page"), F.lit(0).alias("pos"), F.col("role").alias("text"))
+    said = t.select(F.col("conv_id").alias("path"), (F.col("turn") + 1).alias("page"), F.lit(1).alias("pos"), "text")
+    return document_texts(page_texts(role.unionByName(said)))
+
+
 @query("guards", "SELECT * FROM (VALUES ('no files', true), ('no output', true), ('one of two', true), ('empty path', true), ('nothing open', true), ('two files', false)) AS t(guard, refused)")
 def _(spark, d):
     r, info = _requests(spark, d), _info(spark, d)

@@ -72,10 +72,10 @@ class Scratch:
 
 
 def small(df: DataFrame, rows: int | None = None) -> bool:
-    """Whether df has at most that many rows, and BROADCAST_BYTES of values; reads no more than one row beyond."""
+    """Whether df has at most that many rows, and BROADCAST_BYTES of values. Both are summed where the rows lie; no rows are moved."""
     rows = BROADCAST_ROWS if rows is None else rows
     size = reduce(lambda a, c: a + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)), df.columns, F.lit(0).cast("long"))
-    n, total = df.limit(rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
     return n <= rows and total <= BROADCAST_BYTES
 
 

@@ -154,6 +154,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: t
     # which items: one row of each phrase and document, and then of each item and document
     found = hits.select("rid", "items").distinct().select("rid", F.explode("items").alias("item")).groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
     by_doc = scratch.save(spans.join(found, "rid", "left"), "by-document")
+    scratch.keep("index", "by-document")
     d = index.rows.select("rid", *keep, "n_words").join(maybe_broadcast(by_doc), "rid", "left").drop("rid")
     nothing = F.array()
     return d.withColumns({
@@ -166,7 +167,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) ->
     """The rows of docs, all columns, without a hit. Hits depend on the text alone, so its digest names the rows to drop."""
     key = F.sha2(F.encode(F.col("text"), "UTF-8"), 256)
     found = contamination(docs.select("text", key.alias("_key")), items, size, keep=("_key",)).where("n_hit > 0").select("_key").distinct()
-    return docs.select(F.struct("*").alias("_row"), key.alias("_key")).join(maybe_broadcast(found), "_key", "left_anti").select("_row.*")
+    found = Scratch(docs.sparkSession, "contaminated").save(found, "keys")
+    d = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.monotonically_increasing_id().alias("_n"))
+    return looked_up(d, found, ["_key"], "_n", how="left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,7 @@ def place(docs: DataFrame, shards: int = 8) -> DataFrame:
     linked = rows.where("key IS NOT NULL").select("rid", "key", F.col("start_shard").alias("shard"))
     linked = propagate(linked, target, scratch)
     ranked = scratch.save(_ranked(linked.select("rid", "shard"), "shard", n), "ranked")
+    scratch.keep("flagged", "ranked")
     kept = [min(a, b) for a, b in zip(_by_shard(ranked, shards), target, strict=True)]
     stays = F.col("rank") < _pick(target, F.col("shard"))
     settled = ranked.where(stays).select("rid", "shard", F.col("rank").alias("slot"))

@@ -39,7 +39,7 @@ from .common import Scratch, table
 #: Words of a window, of an anchor, and the bytes of text of a block.
 SIZE, GRAM, BLOCK = 35, 16, 2 << 20
 #: Bytes of input for each hash range, and the fewest ranges; blocks of a bundle, blocks of a task, and the most tasks.
-RANGE_BYTES, RANGES, BUNDLE, TASK_BLOCKS, TASKS = 32 << 20, 64, 512, 4, 20_000
+RANGE_BYTES, RANGES, BUNDLE, TASK_BLOCKS, TASKS = 32 << 20, 64, 512, 4, 100_000
 _SEEDS = (11, 23, 37)
 
 

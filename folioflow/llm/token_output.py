@@ -42,8 +42,8 @@ MAGIC = b"FOLIOHUF"
 LIMIT, STRIDE, SEGMENT, BLOCK_IDS, FILE_BYTES = 18, 256, 1 << 20, 1 << 19, 32 << 20
 #: Ids that are coded at a time; a multiple of STRIDE.
 RUN = 1 << 14
-#: Input bytes of a part.
-PART_BYTES = 8 << 20
+#: Input bytes of a part, and the most parts.
+PART_BYTES, PARTS = 8 << 20, 100_000
 #: A space that stands behind something else than white space, and white space that is seldom met.
 CUT = re.compile(r"(?<=\S) ")
 RARE = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
@@ -379,7 +379,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT, block_ids
     scratch = Scratch(spark, "tokens")
     docs = docs.select("doc_id", "text")
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    dealt = docs.repartitionByRange(min(20_000, max(8, size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = docs.repartitionByRange(min(PARTS, max(8, size // part_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
     blocks = scratch.save(dealt.mapInArrow(_tokenising(vocabulary, block_ids), BLOCKS_DDL), "blocks", compression="none")
     del dealt
     enc = _encoder(vocabulary)

@@ -23,7 +23,7 @@ from .common import Scratch, looked_up, small, table, white_words
 
 DIMS = ("source", "lang", "topic")
 #: Powers to which a value's tokens are raised for its target.
-TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
+TEMPER = {"source": 0.9, "lang": 0.95, "topic": 0.95}
 #: The largest gap between a margin's share and its target that ends the raking, the most rounds, and rounds between two looks at the gap.
 TOLERANCE, ROUNDS, LOOK = 1e-6, 40, 4
 #: Up to this many cells, all rounds run in one task; beyond, each margin is dealt by its value.

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, table, white_words
+from .common import table, white_words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"

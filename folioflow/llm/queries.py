@@ -19,7 +19,10 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontamination": decontamination.ORACLE_SQL,
+    "op2_near_dedup": near_dedup.ORACLE_SQL,
     "op4_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op7_mixing": mixing.ORACLE_SQL,
     "op8_warc": warc.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_url_filters": url_filters.ORACLE_SQL,
 }

@@ -16,6 +16,8 @@ WHITE_CHARS = " \t\n\x0b\x0c\r"
 
 #: Rows of a lookup table, and bytes of its values, up to which it may be broadcast; beyond, joins shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Rows that a task writes at least, where their number is known.
+TASK_ROWS = 100_000
 #: A hot key's rows are dealt over so many tasks where joins shuffle.
 SALTS = 16
 
@@ -47,7 +49,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+        """rows: at least so many as df can have, where that is known; small tables are then not dealt to many files."""
+        if rows is not None:
+            df = df.coalesce(max(1, rows // TASK_ROWS))
         df.write.options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

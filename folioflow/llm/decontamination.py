@@ -60,12 +60,12 @@ class Index:
         return self.terms.join(n, "term").select("word", "term", "n")
 
 
-def build_index(docs: DataFrame, terms: DataFrame | None, scratch: Scratch, name: str = "index", keep: tuple[str, ...] = ("doc_id",)) -> Index:
-    """docs: text and the columns of keep; terms: word, those to be found; None: all words."""
+def build_index(docs: DataFrame, terms: DataFrame | None, scratch: Scratch, name: str = "index", keep: tuple[str, ...] = ("doc_id",), most: int | None = None) -> Index:
+    """docs: text and the columns of keep; terms: word, those to be found (`most` at most, if known); None: all words."""
     if terms is None:
         terms = docs.select(F.explode(_words(F.col("text"))).alias("w")).select(_lower(F.col("w")).alias("word"))
     terms = terms.where("word != ''").distinct().withColumn("term", F.monotonically_increasing_id())
-    terms = scratch.save(terms, f"{name}-terms")
+    terms = scratch.save(terms, f"{name}-terms", most)
     d = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(k) for k in keep)).alias("keep"), _words(F.col("text")).alias("w"))
     n = F.array_size("w")
     lead = (F.get("w", F.lit(0)) == "").cast("int")
@@ -95,7 +95,8 @@ def _rarest_first(phrases: DataFrame, counts: DataFrame) -> DataFrame:
 def phrases(index: Index, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """wanted: words, distinct, and other columns. Exact matches: rid, start, size, and wanted's other columns."""
     others = [c for c in wanted.columns if c != "words"]
-    lists = scratch.save(_rarest_first(scratch.save(wanted, "wanted"), index.counts()), "lists")
+    wanted = scratch.save(wanted, "wanted")
+    lists = scratch.save(_rarest_first(wanted, index.counts()), "lists", wanted.count())
     nth = lambda k, of: F.get("order", F.lit(k))[of]
     first = lists.select(nth(0, "term").alias("term"), nth(0, "offset").alias("offset"), nth(1, "term").alias("second"), (nth(1, "offset") - nth(0, "offset")).alias("apart"), "id", "size")
     # a term may be the rarest of many phrases: its postings meet one row of them all
@@ -141,8 +142,8 @@ def proximity(index: Index, pairs: DataFrame, within: int, scratch: Scratch) ->
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row per row of docs: keep, n_words, spans (start and end of the runs of hit words), n_hit, items (sorted ids)."""
     scratch = Scratch(docs.sparkSession, "decontamination")
-    wanted = scratch.save(windows(items, size), "windows")
-    index = build_index(docs, wanted.select(F.explode("words").alias("word")), scratch, keep=keep)
+    wanted = scratch.save(windows(items, size), "windows", 100 * items.count())
+    index = build_index(docs, wanted.select(F.explode("words").alias("word")), scratch, keep=keep, most=size * wanted.count())
     hits = scratch.save(phrases(index, wanted, scratch), "hits")
     # spans that overlap or touch are one, before any are gathered
     d = hits.groupBy("rid", "start").agg(F.max(F.col("start") + F.col("size")).alias("end"))
@@ -153,7 +154,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, keep: t
     spans = d.groupBy("rid").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     # which items: one row of each phrase and document, and then of each item and document
     found = hits.select("rid", "items").distinct().select("rid", F.explode("items").alias("item")).groupBy("rid").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    by_doc = scratch.save(spans.join(found, "rid", "left"), "by-document")
+    by_doc = scratch.save(spans.join(found, "rid", "left"), "by-document", hits.count())
     scratch.keep("index", "by-document")
     d = index.rows.select("rid", *keep, "n_words").join(maybe_broadcast(by_doc), "rid", "left").drop("rid")
     nothing = F.array()

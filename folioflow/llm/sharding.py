@@ -116,7 +116,7 @@ def propagate(linked: DataFrame, target: list[int], scratch: Scratch) -> DataFra
     while True:
         if spread is None:
             parts = F.collect_list(F.struct("count", "shard")).alias("parts")  # at most one a shard
-            spread = scratch.save(linked.groupBy("key", "shard").count().groupBy("key").agg(parts), f"spread{i}")
+            spread = scratch.save(linked.groupBy("key", "shard").count().groupBy("key").agg(parts), f"spread{i}", rows)
             found = {r["shard"]: r["n"] for r in spread.select(F.inline("parts")).groupBy("shard").agg(F.sum("count").alias("n")).collect()}
             room = [n - found.get(j, 0) for j, n in enumerate(target)]
             names.append(f"spread{i}")
@@ -160,11 +160,11 @@ def propagate(linked: DataFrame, target: list[int], scratch: Scratch) -> DataFra
         moves = moves.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         dealt = linked.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
         dealt = dealt.join(maybe_broadcast(moves), ["key", "shard", "salt"], "left")
-        dealt = scratch.save(dealt.select("rid", "key", "shard", "target", F.when(_pick(part, pair) & ~F.col("whole"), pair).alias("pair")), f"dealt{i}")
+        dealt = scratch.save(dealt.select("rid", "key", "shard", "target", F.when(_pick(part, pair) & ~F.col("whole"), pair).alias("pair")), f"dealt{i}", rows)
         new = F.coalesce("target", "shard").alias("shard")
         ranked = _ranked(dealt.where("pair IS NOT NULL"), "pair", rows)
         some = ranked.select("rid", "key", F.when(F.col("rank") < _pick(quota, F.col("pair")), F.col("target")).otherwise(F.col("shard")).alias("shard"))
-        linked = scratch.save(dealt.where("pair IS NULL").select("rid", "key", new).unionByName(some), f"linked{i}")
+        linked = scratch.save(dealt.where("pair IS NULL").select("rid", "key", new).unionByName(some), f"linked{i}", rows)
         for name in (f"dealt{i}", *names):
             scratch.drop(name)
         names, spread, i = [f"linked{i}"], None, i + 1
@@ -194,7 +194,7 @@ def place(docs: DataFrame, shards: int = 8) -> DataFrame:
     scratch.drop("rows")
     linked = rows.where("key IS NOT NULL").select("rid", "key", F.col("start_shard").alias("shard"))
     linked = propagate(linked, target, scratch)
-    ranked = scratch.save(_ranked(linked.select("rid", "shard"), "shard", n), "ranked")
+    ranked = scratch.save(_ranked(linked.select("rid", "shard"), "shard", n), "ranked", n)
     scratch.keep("flagged", "ranked")
     kept = [min(a, b) for a, b in zip(_by_shard(ranked, shards), target, strict=True)]
     stays = F.col("rank") < _pick(target, F.col("shard"))

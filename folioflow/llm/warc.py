@@ -237,16 +237,16 @@ def _finding(root: str):
 
 def entered(found: DataFrame, scratch: Scratch) -> DataFrame:
     """found: file, at, exit. file, at of the candidates where the chain from offset 0 enters a stretch, by pointer jumping."""
-    starts = found.where("at = 0").select("file", "at")
+    starts, n = found.where("at = 0").select("file", "at"), found.count()
     ends = found.select("file", F.col("exit").alias("at")).distinct()
     jumps = found.select("file", "at", "exit").join(ends.unionByName(starts), ["file", "at"], "left_semi")
-    jumps = scratch.save(jumps.join(found.select("file", F.col("at").alias("exit")), ["file", "exit"], "left_semi").select("file", "at", "exit"), "jumps")
-    reached, i = scratch.save(starts, "reached"), 0
+    jumps = scratch.save(jumps.join(found.select("file", F.col("at").alias("exit")), ["file", "exit"], "left_semi").select("file", "at", "exit"), "jumps", n)
+    reached, i = scratch.save(starts, "reached", n), 0
     while jumps.limit(1).count():
         ahead = reached.join(jumps, ["file", "at"]).select("file", F.col("exit").alias("at"))
-        new = scratch.save(reached.unionByName(ahead).distinct(), f"reached{i}")
+        new = scratch.save(reached.unionByName(ahead).distinct(), f"reached{i}", n)
         longer = jumps.join(jumps.select("file", F.col("at").alias("exit"), F.col("exit").alias("far")), ["file", "exit"])
-        jumps = scratch.save(longer.select("file", "at", F.col("far").alias("exit")), f"jumps{i}")
+        jumps = scratch.save(longer.select("file", "at", F.col("far").alias("exit")), f"jumps{i}", n)
         reached, i = new, i + 1
     return reached
 

@@ -132,9 +132,14 @@ def scored(urls: DataFrame, model: Model, order: int = ORDER) -> DataFrame:
 
 
 def threshold(held: DataFrame, model: Model, order: int = ORDER) -> int:
-    """held: s, good. The step that keeps the largest sum of both kinds' right shares; of equal ones the middle."""
+    """held: s, good. The threshold for their scores."""
+    return best_cut(scored(held, model, order))
+
+
+def best_cut(scores: DataFrame) -> int:
+    """scores: score, good. The step that keeps the largest sum of both kinds' right shares; of equal ones the middle."""
     step = F.greatest(F.lit(-STEPS), F.least(F.lit(STEPS), F.expr(f"cast(floor(score / {STEP}) as int)")))
-    rows = scored(held, model, order).groupBy(step.alias("step")).agg(F.count_if(F.col("good")).alias("a"), F.count_if(~F.col("good")).alias("b"))
+    rows = scores.groupBy(step.alias("step")).agg(F.count_if(F.col("good")).alias("a"), F.count_if(~F.col("good")).alias("b"))
     rows = sorted((r["step"], r["a"], r["b"]) for r in rows.collect())  # at most 2 * STEPS + 1 rows
     a, b = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not a or not b:
@@ -157,11 +162,11 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, order: int = ORD
     known = urls.where("ruled IS NOT NULL").select("s", (F.col("ruled") == "allow").alias("good"))
     held = F.conv(F.substring(F.md5(F.encode("s", "UTF-8")), 1, 8), 16, 10).cast("long") % HELD_OUT == 0
     model = train(known.where(~held), scratch, order)
-    at = threshold(known.where(held), model, order)
-    scores = scored(urls.select("s"), model, order).withColumn("score", F.col("score") - at)
-    scores = scratch.save(scores, "scored")
+    scores = scratch.save(scored(urls, model, order), "scored")  # held-out ones among them, so that all are scored once
+    at = best_cut(scores.where(F.col("ruled").isNotNull() & held).select("score", (F.col("ruled") == "allow").alias("good")))
     scratch.keep("parsed", "scored")
-    d = looked_up(d, scores, ["s"], "row")  # a URL may stand in a third of all rows
+    # a URL may stand in a third of all rows
+    d = looked_up(d, scores.select("s", (F.col("score") - at).alias("score")), ["s"], "row")
     verdict = F.coalesce("ruled", F.when(F.col("score") >= 0, F.lit("allow")).otherwise(F.lit("block")))
     return d.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 
 #: The session's setting for the folder; without it a folder under spark.checkpoint.dir is taken.
 SETTING = "spark.folioflow.store"
+#: Fixed value.
 RECENTS_FILE = "recent.json"
 
 

@@ -54,29 +54,34 @@ SPACE = chr(256 + 32)
 BYTES = {c: 256 + i for i, c in enumerate(c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174))}
 #: Bytes of cuts that a worker remembers, twice: those met lately and those before; what an entry takes beside its characters.
 MEMORY, ENTRY = 72 << 20, 230
+#: Characters from which on a cut is not parted at line breaks, nor a text's first cut remembered.
+LONG = 256
 
 
 class _Cuts(dict):
     """The ids of cuts behind a fixed start, as bytes; what is not there is put together from its parts or comes from the library."""
 
     def __init__(self, encoder: Encoder, start: str, old: dict[str, bytes]):
-        self.encoder, self.start, self.old = encoder, start, old
+        self.encoder, self.start, self.old, self.lead = encoder, start, old, start.replace(" ", SPACE)
 
     def __missing__(self, cut: str) -> bytes:
-        bare = self.encoder.bare
-        if "\n" in cut:  # one line break between other characters is a piece
-            left, _, right = cut.partition("\n")
-            if left and right and not left[-1].isspace() and not right[0].isspace():
-                return self[left] + bare["\n"] + bare[right]
         found = self.old.get(cut)
         if found is None:
-            stem = cut.rstrip(MARKS)
-            if not stem or not LETTERS.fullmatch(stem):
-                found = self.encoder.ids(self.start + cut)
-            elif len(stem) < len(cut):  # letters are a piece, and so are the marks behind them
-                found = self[stem] + bare[cut[len(stem) :]]
+            if cut.isascii() and cut.isalpha():  # most of what is new
+                found = array(self.encoder.code, [t.id for t in self.encoder.tokenize(self.lead + cut)]).tobytes()
             else:
-                found = self.encoder.word_ids(self.start + cut)
+                if "\n" in cut and len(cut) < LONG:  # one line break between other characters is a piece
+                    left, _, right = cut.partition("\n")
+                    if left and right and not left[-1].isspace() and not right[0].isspace():
+                        bare = self.encoder.bare
+                        return self[left] + bare["\n"] + bare[right]
+                stem = cut.rstrip(MARKS)
+                if not stem or not (stem.isascii() and stem.isalpha() or LETTERS.fullmatch(stem)):
+                    found = self.encoder.ids(self.start + cut)
+                elif len(stem) < len(cut):  # letters are a piece, and so are the marks behind them
+                    found = self[stem] + self.encoder.bare[cut[len(stem) :]]
+                else:
+                    found = self.encoder.word_ids(self.start + cut)
         self[cut] = found
         self.encoder.taken += len(cut) + ENTRY
         return found
@@ -96,6 +101,7 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.kind = np.uint16 if max(self.size, END_ID + 1) <= 1 << 16 else np.uint32
         self.code, self.model = "H" if self.kind is np.uint16 else "I", self.tokenizer.model
+        self.tokenize = self.model.tokenize
         self.end = np.array([END_ID], self.kind).tobytes()
         self.taken, self.bare, self.spaced = 0, _Cuts(self, "", {}), _Cuts(self, " ", {})
 
@@ -105,7 +111,7 @@ class Encoder:
     def word_ids(self, text: str) -> bytes:
         """The ids of letters alone, behind a space or nothing: a piece as it stands, so that the library's model can be asked at once."""
         seen = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(BYTES)
-        return array(self.code, [t.id for t in self.model.tokenize(seen)]).tobytes()
+        return array(self.code, [t.id for t in self.tokenize(seen)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as bytes, with the end id."""
@@ -113,7 +119,7 @@ class Encoder:
         for t in texts:
             wide = "  " in t or "\n " in t or any(map(t.__contains__, RARE))
             first, *cuts = CUT.split(t) if wide else t.split(" ")
-            out.append(b"".join([self.ids(first), *map(self.spaced.__getitem__, cuts), self.end]))
+            out.append(b"".join([self.bare[first] if len(first) < LONG else self.ids(first), *map(self.spaced.__getitem__, cuts), self.end]))
             if self.taken > MEMORY:
                 self.bare.old = self.spaced.old = {}
                 self.taken, self.bare, self.spaced = 0, _Cuts(self, "", self.bare), _Cuts(self, " ", self.spaced)

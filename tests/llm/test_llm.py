@@ -410,6 +410,23 @@ def test_huffman(counts):
         assert (code.decode(data, marks, len(ids)) == ids).all()
 
 
+def test_first_cuts_are_remembered_and_long_ones_parted_by_the_library(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_output.VOCABULARY_FILE)
+    tok, e, calls = Tokenizer.from_file(path), token_output.Encoder(path), []
+    monkeypatch.setattr(e, "ids", lambda text, ids=e.ids: calls.append(text) or ids(text))
+    starts = ["Some", "some,", "a\nb", "Éte", "a\n\nb", "\nb", "b\n", "\u00a0x", "4.0.", "...", "", "x" * 300, "a\tb", "ǅ", "a\nb\nc,"]
+    texts = [f"{s} words" for s in starts] + starts + ["\n".join(["ab"] * 5000), "x " + "\n".join(["ab"] * 5000)]
+    for _ in range(2):
+        got = [np.frombuffer(b, e.kind).tolist() for b in e.encode(texts)]
+        assert got == [[*tok.encode(t, add_special_tokens=False).ids, token_output.END_ID] for t in texts]
+    calls.clear()
+    e.encode(["Some words here"] * 50)
+    assert not calls
+
+
 def test_token_files_edges(spark):
     import public_tokenizers
 
